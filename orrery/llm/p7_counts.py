@@ -52,12 +52,12 @@ def frequencies(state: DataFrame) -> DataFrame:
     """Per term: uses, files, share of all files, and the mark rare, common or null.
 
     A hot term's rows are combined on the map side, first per file in the state and then per term.
-    The number of files is one row, joined by a broadcast of that row.
+    The number of files is a scalar subquery.
     """
-    total = state.select("file_id").distinct().agg(F.count("*").alias("all_files"))
+    total = state.select("file_id").distinct().agg(F.count("*")).scalar()
     t = state.groupBy("import_kind", "raw_specifier").agg(F.sum("uses").alias("uses"), F.count("*").alias("files"))
-    mark = F.when(F.col("files") < RARE_FILES, "rare").when(F.col("files") >= COMMON_SHARE * F.col("all_files"), "common")
-    return t.join(F.broadcast(total), F.lit(True)).select("import_kind", "raw_specifier", "uses", "files", (F.col("files") / F.col("all_files")).alias("share"), mark.alias("mark"))
+    mark = F.when(F.col("files") < RARE_FILES, "rare").when(F.col("files") >= COMMON_SHARE * total, "common")
+    return t.select("import_kind", "raw_specifier", "uses", "files", (F.col("files") / total).alias("share"), mark.alias("mark"))
 
 
 def counts(imports: DataFrame) -> DataFrame:
