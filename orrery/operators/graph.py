@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOP_DECAY, CROSS_BASE, CROSS_SCALE, CROSS_CAP = 0.6, 0.20, 0.70, 0.90
@@ -67,5 +67,5 @@ def without_suppressed(edges: DataFrame, log: DataFrame) -> DataFrame:
 
 def frecency(events: DataFrame, key: str, now, tau_days: float = 14.0) -> DataFrame:
     """(key, frecency): the sum of exp(-age in days / tau) of events up to now."""
-    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400e6
+    age = (F.unix_micros((now if isinstance(now, Column) else F.lit(now)).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400e6
     return events.where(F.col(key).isNotNull() & (age >= 0)).groupBy(key).agg(F.round(F.sum(F.exp(-age / tau_days)), 6).alias("frecency"))

@@ -21,6 +21,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> D
 
     docs are (id, text), queries (query_id, text).  A document's length is the size of its token
     array; only tokens that some query holds are exploded into postings.  A token counts once per query.
+    Parts are rounded before they are summed, so that the score does not depend on the order of rows.
     """
     d = docs.select("id", tokens(F.col("text")).alias("t"))
     size = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
@@ -31,7 +32,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> D
     df = post.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    s = q.join(df, "token").join(post, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
+    s = q.join(df, "token").join(post, "token").groupBy("query_id", "id").agg(F.round(F.sum(F.round(part, digits)), digits).alias("score"))
     return ranked(s, "query_id", "id", "score", k)
 
 

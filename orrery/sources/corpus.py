@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,5 +77,5 @@ def cached(cache: DataFrame, now, ttl_seconds: int = 3600, most: int = 4096) ->
 
     The cut is a global top-k, which never sorts the whole cache in one task.
     """
-    live = cache.where(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("cached_at").cast("timestamp")) < ttl_seconds * 1_000_000)
+    live = cache.where(F.unix_micros((now if isinstance(now, Column) else F.lit(now)).cast("timestamp")) - F.unix_micros(F.col("cached_at").cast("timestamp")) < ttl_seconds * 1_000_000)
     return live.orderBy(F.desc("last_used"), "query", "model").limit(most)
