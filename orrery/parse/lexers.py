@@ -494,8 +494,12 @@ def tree(cls: list, off: list, forest):
     def shut():
         if len(stack) > 1:
             opener, seq, places = stack.pop()
-            stack[-1][1].append(forest.add(opener, tuple(seq)))
+            line = places.pop() if opener != "B" and seq and seq[-1] == "nl" else None  # an open bracket does not keep the line's end
+            stack[-1][1].append(forest.add(opener, tuple(seq[:-1] if line is not None else seq)))
             stack[-1][2].append((places[0], places[1:]))
+            if line is not None:
+                stack[-1][1].append("nl")
+                stack[-1][2].append(line)
 
     for k, c in enumerate(cls):
         for _ in close.get(k, ()):
