@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Extension -> language of the nine parsed languages (fixed values of the index).
-EXTENSIONS = {
-    "py": "Python", "pyi": "Python", "pyw": "Python",
-    "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "jsx": "JavaScript",
-    "ts": "TypeScript", "mts": "TypeScript", "cts": "TypeScript", "tsx": "Tsx",
-    "rs": "Rust", "go": "Go", "java": "Java", "c": "C", "h": "C",
-    "cc": "Cpp", "cpp": "Cpp", "cxx": "Cpp", "hpp": "Cpp", "hxx": "Cpp", "hh": "Cpp",
-}
+from .. import schemas
+from ..functions import text as text_functions
+
+#: Extension -> language of the nine parsed languages.
+EXTENSIONS = {e: lang for lang, exts in schemas.EXTENSIONS.items() for e in exts}
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -31,8 +28,7 @@ def path_of(rel_path: Column, header: Column) -> Column:
 
 def language_of(path: Column) -> Column:
     """Language by the last extension, in any case; null for other files and for dot files without one."""
-    ext = F.lower(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^.+\.([^.]+)$", 1))
-    return F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[ext]
+    return F.nullif(text_functions.language_of_path(path), F.lit(""))
 
 
 def files(chunks: DataFrame, languages: bool = False) -> DataFrame:

@@ -127,7 +127,7 @@ def find(text: str, path: str | None = None, folder: str | None = None) -> list[
             value = raw[1:-1]
             if not rank or _empty(value, folder):
                 continue
-            if rank == 1 and not (_TOKEN_FORM.match(value) or _unnatural(value, folder) and " " not in value and len(value) >= 12):
+            if rank == 1 and not (_TOKEN_FORM.match(value) or _unnatural(value, folder) and " " not in value and "://" not in value and len(value) >= 12):
                 continue
             if re.search(r"\$\{|\{\w*\}|%s", value) or value.startswith(("-----BEGIN PUBLIC", "-----BEGIN CERT")):
                 continue
