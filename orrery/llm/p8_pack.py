@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from . import sizes
 
 #: Documents of a range that are placed together, and containers that stay open for later ones.
-WINDOW, OPEN = 4096, 512
-#: Gaps that the rest of a split document may fill.
+WINDOW, OPEN = 4096, 8192
+#: Gaps that a split document may fill at either end.
 FILLS = 3
+#: The smallest gap worth a piece, as a fraction of the capacity.
+LEAST = 32
 #: Documents of a range; only the containers still open at its end can be badly filled.
 RANGE = 25_000
 _SCHEMA = "container string, capacity int, container_id bigint, doc_id bigint, piece int, token_start bigint, token_end bigint"
@@ -45,31 +47,38 @@ class Packer:
             insort(self.open, (room - size, c))
         return c
 
-    def pour(self, doc: int, piece: int, start: int, n: int) -> list[tuple]:
-        """Rows for the last n tokens of a split document: they fill gaps whole before they open a container."""
-        rows = []
+    def pour(self, doc: int, n: int) -> list[tuple]:
+        """Rows for a document of n tokens above the capacity: it fills gaps whole, then containers of its own, and its rest fits in best."""
+        rows, start = [], 0
+
+        def put(c, size):
+            rows.append((self.name, self.capacity, c, doc, len(rows), start, start + size))
+            return start + size
+
+        for _ in range(FILLS):
+            if not self.open or self.open[-1][0] < self.capacity // LEAST or n - start < self.open[-1][0]:
+                break
+            room, c = self.open.pop()
+            start = put(c, room)
+        while n - start >= self.capacity:
+            start, self.next = put(self.next, self.capacity), self.next + 1
         for _ in range(FILLS):
-            k = bisect_left(self.open, (n, -1))
-            if k < len(self.open) and self.open[k][0] - n <= self.capacity // 64 or k == 0 or self.open[k - 1][0] < self.capacity // 16:
+            k = bisect_left(self.open, (n - start, -1))
+            if k < len(self.open) or k == 0 or self.open[k - 1][0] < self.capacity // LEAST:
                 break
             room, c = self.open.pop(k - 1)
-            rows.append((self.name, self.capacity, c, doc, piece, start, start + room))
-            piece, start, n = piece + 1, start + room, n - room
-        rows.append((self.name, self.capacity, self.place(n), doc, piece, start, start + n))
+            start = put(c, room)
+        if n > start:
+            put(self.place(n - start), n - start)
         return rows
 
     def add(self, items: list[tuple[int, int]]) -> list[tuple]:
-        """Rows for (size, doc_id): whole documents first, largest first; then full pieces of oversized ones, whose rests fill gaps."""
+        """Rows for (size, doc_id): whole documents first, largest first; those above the capacity then fill the gaps."""
         rows = []
         for n, doc in sorted((x for x in items if x[0] <= self.capacity), key=lambda x: (-x[0], x[1])):
             rows.append((self.name, self.capacity, self.place(n), doc, 0, 0, n))
-        for n, doc in sorted((x for x in items if x[0] > self.capacity), key=lambda x: (-(x[0] % self.capacity), x[1])):
-            full = n // self.capacity
-            for p in range(full):
-                rows.append((self.name, self.capacity, self.next, doc, p, p * self.capacity, (p + 1) * self.capacity))
-                self.next += 1
-            if n > full * self.capacity:
-                rows += self.pour(doc, full, full * self.capacity, n - full * self.capacity)
+        for n, doc in sorted((x for x in items if x[0] > self.capacity), key=lambda x: (-x[0], x[1])):
+            rows += self.pour(doc, n)
         return rows
 
 
