@@ -21,6 +21,12 @@ def tasks(spark: SparkSession, per_core: int = 3) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """df over enough partitions for a CPU-bound stage: as it is scanned, unless the scan has fewer partitions than there are cores."""
+    spark = df.sparkSession
+    return df.repartition(tasks(spark, per_core)) if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else df
+
+
 def path_of(rel_path: Column, header: Column) -> Column:
     """The path of a chunk: rel_path, else what its context header says."""
     return F.coalesce(rel_path, F.nullif(F.regexp_extract(header, r"(?m)^// File: ([^\n]*)$", 1), F.lit("")))

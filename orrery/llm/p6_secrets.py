@@ -195,7 +195,7 @@ def findings(chunks: DataFrame, folder: str | None = None) -> DataFrame:
             yield pd.DataFrame(rows, columns=["chunk_id", "line_no", "start", "end", "rule"])
 
     c = chunks.where("chunk_id is not null and text <> ''").select("chunk_id", common.path_of(F.col("rel_path"), F.col("context_header")).alias("path"), "text")
-    return c.repartition(common.tasks(chunks.sparkSession)).mapInPandas(scan, _SCHEMA).distinct()
+    return common.spread(c).mapInPandas(scan, _SCHEMA).distinct()
 
 
 def redacted(chunks: DataFrame, folder: str | None = None) -> DataFrame:

@@ -75,11 +75,4 @@ def sized(documents: DataFrame, keep: list[str], curve: bool = False, folder: st
 
     kinds = dict(documents.select(*keep).dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint" + (", curve bigint" if curve else "")
-    d = documents.select(*keep, F.col("text"))
-    d = d.repartition(common.tasks(documents.sparkSession, 2)) if d.sparkSession.sparkContext.defaultParallelism > 1 and _few(d) else d
-    return d.mapInPandas(count, schema)
-
-
-def _few(df: DataFrame) -> bool:
-    """Does the scan have fewer partitions than cores?  Then the texts are spread before the Python stage."""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return common.spread(documents.select(*keep, F.col("text"))).mapInPandas(count, schema)
