@@ -108,6 +108,10 @@ m AS (SELECT t.*, files / all_files AS share, CASE WHEN files < 3 THEN 'rare' WH
 def oracle_sql() -> dict:
     return {
         "p3_found": "SELECT DISTINCT chunk_id FROM semantic_chunks WHERE strlen(text) > 1500",
+        "p5_found": """WITH v AS (SELECT chunk_id, arg_max(vector, stored_at)::DOUBLE[] AS v FROM chunks WHERE len(vector) = 64 AND NOT list_bool_or(list_transform(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(vector, lambda x: x <> 0)) GROUP BY 1),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r""",
         "p7_found": _IMPORTS + "SELECT import_kind, raw_specifier, mark FROM m WHERE mark IS NOT NULL",
         "p7_counts_all": _IMPORTS + "SELECT import_kind, raw_specifier, uses, files, round(share, 9) AS share, coalesce(mark, '') AS mark FROM m",
     }
