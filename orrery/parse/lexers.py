@@ -518,9 +518,9 @@ def tree(cls: list, off: list, forest):
     return tuple(stack[0][1]), stack[0][2], [(off[k] if k < len(off) else -1, what) for k, what in edits]
 
 
-def _bracket_edits(cls: list, off: list, exact: int = 60):
-    """Least insertions and deletions that balance the brackets: [(index, "drop" | opener closed before index)]."""
-    left: list = []  # what does not cancel, as (class, index)
+def _unbalanced(cls: list):
+    """The brackets that do not cancel, as (class, index)."""
+    left: list = []
     for k, c in enumerate(cls):
         if c in PARTNER or c == "{B":
             left.append((c, k))
@@ -530,10 +530,40 @@ def _bracket_edits(cls: list, off: list, exact: int = 60):
                 left.pop()
             else:
                 left.append((c, k))
+    return left
+
+
+#: Up to so many unbalanced brackets are repaired at the least cost; more in one pass, whose cost may be higher.
+EXACT_BRACKETS = 400
+
+
+def bracket_bound(cls: list) -> int:
+    """The least cost of balancing the brackets; of more than EXACT_BRACKETS a lower bound: what each kind needs by itself."""
+    left = _unbalanced(cls)
+    if len(_core(left)[1]) <= EXACT_BRACKETS:
+        return len(_bracket_edits(cls, []))
+    kinds = {CLOSERS.get(c, "{B" if c == "}B" else c) for c, _ in left}
+    return sum(len(_unbalanced([c for c, _ in left if c == o or CLOSERS.get(c, "{B" if c == "}B" else "") == o])) for o in kinds)
+
+
+def _core(left: list):
+    """(closers before any opener, the rest, openers after any closer): the outer ones have no partner."""
+    a, b = 0, len(left)
+    opens = lambda c: c in PARTNER or c == "{B"
+    while a < b and not opens(left[a][0]):
+        a += 1
+    while b > a and opens(left[b - 1][0]):
+        b -= 1
+    return left[:a], left[a:b], left[b:]
+
+
+def _bracket_edits(cls: list, off: list, exact: int = EXACT_BRACKETS):
+    """Least insertions and deletions that balance the brackets: [(index, "drop" | opener closed before index)]."""
+    left = _unbalanced(cls)
     if not left:
         return []
     n = len(cls)
-    if len(left) > exact:
+    if len(_core(left)[1]) > exact:
         out, stack = [], []
         for c, k in left:
             if c in PARTNER or c == "{B":
@@ -547,6 +577,7 @@ def _bracket_edits(cls: list, off: list, exact: int = 60):
             else:
                 out.append((k, "drop"))
         return out + [(n, c) for c, _ in reversed(stack)]
+    before, left, after = _core(left)
     m = len(left)
     best = [[0] * (m + 1) for _ in range(m + 1)]
     how: dict = {}
@@ -563,7 +594,7 @@ def _bracket_edits(cls: list, off: list, exact: int = 60):
                         cost, way = best[a + 1][j] + best[j + 1][b], j
             best[a][b] = cost
             how[a, b] = way
-    out, todo = [], [(0, m)]
+    out, todo = [(k, "drop") for _, k in before] + [(n, c) for c, _ in after], [(0, m)]
     while todo:
         a, b = todo.pop()
         if a >= b:
