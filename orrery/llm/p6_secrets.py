@@ -49,7 +49,16 @@ _REFERENCE = re.compile(
 _ORDINARY_NAME = re.compile(r"(?i)(?:commit|sha\d*|hash|digest|etag|integrity|checksum|md5|crc|uuid|guid|row_?id|build_?id|revision|rev|version|public_?key|pub_?key|fingerprint|certificate|cert|nonce|trace_?id|request_?id|image|path|url|id)$")
 _ORDINARY = re.compile(r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128}|[0-9a-f]{7,12}|[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|sha\d+[-:].*|md5[-:].*|[\d.,:_/ -]+|data:.*|[\w.-]+@[\w.-]+)$")
 # Forms that only tokens have.
-_TOKEN_FORM = re.compile(r"^(?:eyJ[\w-]{8,}\.[\w-]{6,}\.[\w-]{6,}|[a-z]{2,5}_(?:live|test|prod|sk|pk)_[A-Za-z0-9]{14,}|(?:gh[pousr]|glpat|xox[abpr]|sk|pk|rk|nlk|hbt|npm|pypi|dop|shpat|hf)[_-][\w-]{16,}|AKIA[A-Z0-9]{16}|AIza[\w-]{30,}|vx\d\.\w{16,}|hbt\d?:\w{16,})$")
+_TOKEN_FORM = re.compile(r"^(?:eyJ[\w-]{8,}\.[\w-]{6,}\.[\w-]{6,}|[a-z]{2,5}_(?:live|test|prod|sk|pk)_[A-Za-z0-9]{14,}|(?:gh[pousr]|glpat|xox[abpr]|sk|pk|rk|npm|pypi|dop|shpat|hf)[_-][\w-]{16,}|AKIA[A-Z0-9]{16}|AIza[\w-]{30,})$")
+_HEX = re.compile(r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128})$")
+_STRING = re.compile(_QUOTED)
+# Words, with small numbers, joined by marks or capitals: identifiers, file names, versions of something.
+_WORDS = re.compile(r"^(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[A-Za-z](?![A-Za-z]))\d{0,4}+[._/:+,@=*-]*+)+[a-z]?$")
+_NAMED = re.compile(r"([A-Za-z_][\w.-]*)[\"'`]?\s*(?::[ \t]*[&\w<>\[\]' ]+?[ \t]*=|:=|=>|=|:|\bis\b)\s*(?:\(\s*)?[\"'`]?$")
+# A string without a telling name has this many characters at least, of two kinds among small and large letters, digits and marks.
+FREE_LENGTH, FREE_KINDS = 10, 2
+#: A literal without a telling name that is longer than this, pieces joined, is encoded data and no credential.
+DATA_LENGTH = 200
 #: Below so many characters per subword a string is unnatural; words have four and more.
 UNNATURAL = 2.2
 #: File types without a syntax of their own for strings: values stand bare.
@@ -92,6 +101,15 @@ def _unnatural(value: str, folder) -> bool:
     return len(value) >= 8 and chars_per_subword(value, folder) < UNNATURAL and not _ORDINARY.match(value)
 
 
+def _free(v: str, folder) -> bool:
+    """An unnatural string that needs no name to be one: no words, path, address, pattern, markup or call."""
+    if len(v) < FREE_LENGTH or re.search(r"\s|://|\\|[<>{}()\[\]|]|^[./#@&$%]", v):
+        return False
+    if sum(bool(re.search(x, v)) for x in ("[a-z]", "[A-Z]", r"\d", r"[^\w]")) < FREE_KINDS:
+        return False
+    return not _WORDS.match(v) and not _empty(v, folder) and _unnatural(v, folder)
+
+
 def find(text: str, path: str | None = None, folder: str | None = None) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the credentials in a text, in characters, without overlaps."""
     spans: list[tuple[int, int, str]] = []
@@ -127,7 +145,7 @@ def find(text: str, path: str | None = None, folder: str | None = None) -> list[
             value = raw[1:-1]
             if not rank or _empty(value, folder):
                 continue
-            if rank == 1 and not (_TOKEN_FORM.match(value) or _unnatural(value, folder) and " " not in value and "://" not in value and len(value) >= 12):
+            if rank == 1 and not (_TOKEN_FORM.match(value) or _HEX.match(value) or _unnatural(value, folder) and " " not in value and "://" not in value and len(value) >= 12):
                 continue
             if re.search(r"\$\{|\{\w*\}|%s", value) or value.startswith(("-----BEGIN PUBLIC", "-----BEGIN CERT")):
                 continue
@@ -141,7 +159,7 @@ def find(text: str, path: str | None = None, folder: str | None = None) -> list[
                 rank, value = _rank(m["name"]), m["value"].strip().rstrip(",;")
                 if not rank or _empty(value, folder) or value[-1:] in "{[(|>":
                     continue
-                if rank == 1 and not (_TOKEN_FORM.match(value) or _unnatural(value, folder) and len(value) >= 12):
+                if rank == 1 and not (_TOKEN_FORM.match(value) or _HEX.match(value) or _unnatural(value, folder) and len(value) >= 12):
                     continue
                 add(m.start("value"), m.start("value") + len(value), "setting")
         for m in _SPOKEN.finditer(text):
@@ -154,13 +172,24 @@ def find(text: str, path: str | None = None, folder: str | None = None) -> list[
             k = "value" if m["value"] else "value2"
             if not _empty(m[k], folder) and not m[k].startswith("-"):
                 add(m.start(k), m.end(k), "option")
+    def ordinary(at):
+        name = _NAMED.search(text[text.rfind("\n", 0, at) + 1 : at])
+        return name and (_ORDINARY_NAME.search(_words(name[1])) or _SETTING.search(_words(name[1])))
+
     for m in _FREE.finditer(text):
         v = m.group().rstrip(".:=")
-        if _TOKEN_FORM.match(v):
-            start = text.rfind("\n", 0, m.start()) + 1
-            name = re.search(r"([A-Za-z_][\w.-]*)[\"'`]?\s*(?::=|=|:|is)\s*[\"'`]?$", text[start : m.start()])
-            if not (name and _ORDINARY_NAME.search(_words(name[1]))):
-                add(m.start(), m.start() + len(v), "token form")
+        if _TOKEN_FORM.match(v) and not ordinary(m.start()):
+            add(m.start(), m.start() + len(v), "token form")
+    run: list = []  # literals with nothing but white space or a joining mark between them are one string
+    for m in [*_STRING.finditer(text), None]:
+        if run and (m is None or not re.fullmatch(r"\s*(?:[+\\.]\s*)*", text[run[-1].end() : m.start()])):
+            if sum(len(r.group()) - 2 for r in run) <= DATA_LENGTH and not ordinary(run[0].start()):
+                for r in run:
+                    if _free(r.group()[1:-1], folder):
+                        add(r.start() + 1, r.end() - 1, "unnatural")
+            run = []
+        if m is not None:
+            run.append(m)
     return sorted(spans)
 
 

@@ -45,6 +45,16 @@ def test_redaction_keeps_offsets(path, text, line):
     assert all(out[i] == text[i] for i in keep)
 
 
+@pytest.mark.parametrize("text", ['client.login(user, "q7R!xV2p#Lw9Tz")', 'value = "Zk4Tq9wXb71LmP0c"', "use(['a', 'm3Xq-88Zr_pL0aV']);", 'token = "190bfaf8cb1af665d1f723632addc1c0e0b0b728"', 'auth: str = "568e7bc21a236731d15b983ce54f184a"'])
+def test_unnatural_without_a_telling_name(text):
+    assert len(p6.find(text, "a.py")) == 1
+
+
+@pytest.mark.parametrize("text", ['#include "ochre/teal_catalog.h"', 'commit = "190bfaf8cb1af665d1f723632addc1c0e0b0b728"', 'use("568e7bc2-1a23-6731-d15b-983ce54f184a")', 'f("com.example.ledger.RowCursor2")', 'checksum = "Zk4Tq9wXb71LmP0c"', "DATA = (\n" + '    "ZV+KX33E6Lu5At11O/N+m+/6KhA4o4a8vjLDFfTEYhmw3LvykYalAFLidltRQE0zlf6K/v7aO/iK"\n' * 4 + ")"])
+def test_ordinary_without_a_telling_name(text):
+    assert p6.find(text, "a.py") == []
+
+
 def test_redacted_python_still_parses():
     import ast
 
