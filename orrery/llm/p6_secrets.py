@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,6 +34,8 @@ _QUERY = re.compile(r"(?i)[?&](?:[\w-]*(?:api_?key|access_?key|access_?token|aut
 _HEADER = re.compile(r"(?i)(?:\b(?:proxy-)?authorization\b[\"']?\s*[:=,]\s*[\"']?(?:(?:bearer|basic|token|digest)\s+)?|\bx-[\w-]*(?:auth|token|key|secret)[\w-]*[\"']?\s*[:=,]\s*[\"']?|(?<=[\"'`])(?:bearer|basic)\s+)(?P<value>[^\s\"'`,;]+(?: [a-z]+)*)")
 _OPTION = re.compile(r"(?i)(?<![\w-])(?:--?(?:[\w-]*(?:password|passwd|pass|token|secret|api-?key|access-?key))(?:\s+|=)(?P<q>[\"']?)(?P<value>[^\s\"']+)|(?:-u|--user)(?:\s+|=)[\"']?[\w.-]+:(?P<value2>[^\s\"']+))")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:(?!-----END)[\s\S])*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?=-----)|\Z)")
+# Lines of a key's body at the start of a chunk, with the last short one and the END marker if they follow.
+_PEM_REST = re.compile(r"(?:[ \t]*\r?\n|[ \t\"'#/*+]*[A-Za-z0-9+/=]{16,}(?:\\[nr])*[\"'+,;\\ \t]*\r?(?:\n|\Z))*(?:[ \t\"'#/*+]*[A-Za-z0-9+/=]*(?:\\[nr])*[\"'+,;\\ \t]*\s*[ \t\"'#/*+]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?")
 _FREE = re.compile(r"(?<![\w/+=.-])[A-Za-z0-9][\w+/=.:~*!%$-]{15,}(?![\w])")
 # Placeholders and references.
 _PLACEHOLDER = re.compile(
@@ -59,6 +61,7 @@ _NAMED = re.compile(r"([A-Za-z_][\w.-]*)[\"'`]?\s*(?::[ \t]*[&\w<>\[\]' ]+?[ \t]
 FREE_LENGTH, FREE_KINDS = 10, 2
 #: A literal without a telling name that is longer than this, pieces joined, is encoded data and no credential.
 DATA_LENGTH = 200
+_LAST_MARK = r"(?s).*-----(BEGIN|END) (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 #: Below so many characters per subword a string is unnatural; words have four and more.
 UNNATURAL = 2.2
 #: File types without a syntax of their own for strings: values stand bare.
@@ -110,9 +113,14 @@ def _free(v: str, folder) -> bool:
     return not _WORDS.match(v) and not _empty(v, folder) and _unnatural(v, folder)
 
 
-def find(text: str, path: str | None = None, folder: str | None = None) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of the credentials in a text, in characters, without overlaps."""
+def find(text: str, path: str | None = None, folder: str | None = None, inside: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, rule) of the credentials in a text, in characters, without overlaps.
+
+    With inside, an earlier chunk of the file left a private key block open; what goes on with it is "rest".
+    """
     spans: list[tuple[int, int, str]] = []
+    if inside and (body := _PEM_REST.match(text)).group().strip():
+        spans.append((0, body.end(), "rest"))
 
     def add(a, b, rule):
         if b > a and not any(x < b and a < y for x, y, _ in spans):
@@ -198,7 +206,7 @@ def redact(text: str, spans) -> str:
     out, at = [], 0
     for a, b, _ in spans:
         out.append(text[at:a])
-        out.append(re.sub(r"\\.|[^\r\n]", lambda m: m.group() if m.group()[0] == "\\" and m.group()[1] in "nr" else "*" * len(m.group()), text[a:b]) if "-----" in text[a:b] else "*" * (b - a))
+        out.append(re.sub(r"\\.|[^\r\n]", lambda m: m.group() if m.group()[0] == "\\" and m.group()[1] in "nr" else "*" * len(m.group()), text[a:b]) if "-----" in text[a:b] or "\n" in text[a:b] else "*" * (b - a))
         at = b
     return "".join(out) + text[at:]
 
@@ -233,13 +241,22 @@ def redacted(chunks: DataFrame, folder: str | None = None) -> DataFrame:
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for chunk_id, path, text in pdf.itertuples(index=False, name=None):
-                spans = find(text, path, folder) if text else []
+            for chunk_id, path, text, inside in pdf.itertuples(index=False, name=None):
+                spans = find(text, path, folder, inside is True) if text else []
                 rows.append((chunk_id, len(spans), redact(text, spans) if spans else text))
             yield pd.DataFrame(rows, columns=["chunk_id", "found", "text"])
 
-    row = F.struct("indexed_at", "text", common.path_of(F.col("rel_path"), F.col("context_header")).alias("path"))
+    path = common.path_of(F.col("rel_path"), F.col("context_header")).alias("path")
+    row = F.struct("indexed_at", "text", path)
     one = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.max(row).alias("r")).select("chunk_id", "r.path", "r.text")
+    if not {"file_id", "chunk_index"} <= set(chunks.columns):  # chunks by themselves
+        return one.withColumn("inside", F.lit(False)).select("chunk_id", "path", "text", "inside").mapInPandas(mask, "chunk_id bigint, found int, text string")
+    # what the last marker before a chunk of the file is; only marks and places travel, never texts
+    marks = chunks.where("chunk_id is not null and file_id is not null").select("chunk_id", F.struct("indexed_at", "file_id", "chunk_index", F.nullif(F.regexp_extract("text", _LAST_MARK, 1), F.lit("")).alias("mark")).alias("r"))
+    marks = marks.groupBy("chunk_id").agg(F.max("r").alias("r")).select("chunk_id", "r.file_id", "r.chunk_index", "r.mark")
+    before = Window.partitionBy("file_id").orderBy("chunk_index", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.select("chunk_id", (F.last("mark", ignorenulls=True).over(before) == "BEGIN").alias("inside")).where("inside")
+    one = one.join(marks, "chunk_id", "left").select("chunk_id", "path", "text", F.coalesce("inside", F.lit(False)).alias("inside"))
     return one.mapInPandas(mask, "chunk_id bigint, found int, text string")
 
 
