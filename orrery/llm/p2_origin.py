@@ -110,16 +110,15 @@ def origin(chunks: DataFrame) -> DataFrame:
     """One row per source file: reasons why it is not hand-written in its project, an empty array if it is.
 
     Vendored are: files of a licensed or vendor-path copy; every other file with the same content;
-    files in a subtree of two or more files that unrelated projects share, and files shared by
-    three or more projects.  Null paths count as files at the root.  Configuration and blank files are left out.
+    files in a subtree of two or more files that unrelated projects share, and files of LEAST_SHARED
+    characters or more that two or more projects share.  Null paths count as files at the root.  Configuration and blank files are left out.
     """
     s = common.materialize(signs(common.files(chunks, languages=True)).withColumn("path", F.coalesce("path", F.lit(""))))
     deep = s.withColumn("path", F.when(F.size(F.split("path", "/")) - 1 > LEVELS, F.concat_ws("/", F.slice(F.split("path", "/"), 1, LEVELS), F.lit("_"))).otherwise(F.col("path")))
     # files by content: map-side combinable flags, no group is collected
-    same = s.groupBy("hash", "hash2").agg(
-        F.max(F.col("licensed") | F.col("vendor_path")).alias("known"), F.approx_count_distinct("project").alias("projects"), F.max("size").alias("size_")
-    )
-    copied = same.where((F.col("size_") >= LEAST_SHARED) & (F.col("known") | (F.col("projects") >= 3))).select("hash", "hash2", F.lit(True).alias("copied"))
+    each = s.groupBy("hash", "hash2", "project").agg(F.max(F.col("licensed") | F.col("vendor_path")).alias("known"), F.max("size").alias("size_"))
+    same = each.groupBy("hash", "hash2").agg(F.max("known").alias("known"), F.count("project").alias("projects"), F.max("size_").alias("size_"))
+    copied = same.where((F.col("size_") >= LEAST_SHARED) & (F.col("known") | (F.col("projects") >= 2))).select("hash", "hash2", F.lit(True).alias("copied"))
     trees = common.materialize(merkle(deep, LEVELS).where("n >= 2"))  # read three times below; without this the plan holds six levels thrice
     shared = trees.groupBy("hash", "hash2").agg(F.min("project").alias("p1"), F.max("project").alias("p2")).where("p1 <> p2").select("hash", "hash2")
     shared_dirs = trees.join(shared, ["hash", "hash2"], "left_semi").select("project", "dir").distinct().withColumn("in_tree", F.lit(True))

@@ -60,5 +60,12 @@ def test_shared_trees(spark):
     assert {k: bool(v) for k, v in got.items() if k < 6} == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False}
 
 
+def test_files_shared_by_two_or_three_projects(spark):
+    two, three = LIB.replace("run", "hop"), LIB.replace("run", "row")
+    files = [("bramble", "src/a.js", three), ("larkspur", "lib/b.js", three), ("oak", "c.js", three), ("fallowmere", "src/d.js", two), ("turnstile", "e.js", two), ("oak", "f/g.js", LIB.replace("run", "dig")), ("oak", "h/i.js", LIB.replace("run", "dig")), ("a", "j.py", "x = 1\n"), ("b", "k.py", "x = 1\n")]
+    got = reasons(spark, files)
+    assert {k: bool(v) for k, v in got.items()} == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False, 8: False}
+
+
 def test_empty(spark):
     assert reasons(spark, [("p", "a.txt", "x")]) == {}
