@@ -62,7 +62,7 @@ def _accessors(text: Column) -> Column:
 def signs(files: DataFrame) -> DataFrame:
     """(file_id, project, path, hash, size, generated, minified, data, licensed, vendor_path), all from built-in expressions."""
     text, path = F.col("text"), F.coalesce("path", F.lit(""))
-    head = F.substring(F.regexp_extract(text, _HEAD, 1), 1, 4000)
+    head = F.regexp_extract(text, _HEAD, 1)
     tail = F.regexp_extract(text, _TAIL, 1)
     code = F.create_map(*[F.lit(x) for kv in common.EXTENSIONS.items() for x in kv])[F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))].isNotNull()
     lines = F.split(F.concat(head, F.lit("\n"), tail), "\n")
@@ -95,13 +95,15 @@ def merkle(files: DataFrame, depth: int) -> DataFrame:
         total = lambda c, seed: F.sum(F.xxhash64(c, F.lit(seed)).cast("decimal(20,0)"))
         done = here.groupBy("project", "dir").agg(total("hash", 7).alias("a"), total("hash2", 11).alias("b"), F.sum("n").alias("n"))
         done = done.select("project", "dir", F.xxhash64("a", "n").alias("hash"), F.xxhash64("b", "n").alias("hash2"), "n")
+        if (depth - level) % LEVELS_A_PLAN == LEVELS_A_PLAN - 1 and level > 1:
+            done = common.materialize(done)
         out = done if out is None else out.unionByName(done)
         carry = done.select("project", F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"), F.lit(level - 1).alias("level"), "hash", "hash2", "n")
     return out
 
 
-#: Directory levels that subtrees are hashed for; files below the deepest level are hashed with it.
-LEVELS = 6
+#: The lineage of the directory hashes is cut after so many levels, since each level's plan holds those below it.
+LEVELS_A_PLAN = 6
 #: Shared content counts as copied from this many characters without white space; less may be coincidence.
 LEAST_SHARED = 120
 
@@ -114,15 +116,15 @@ def origin(chunks: DataFrame) -> DataFrame:
     characters or more that two or more projects share.  Null paths count as files at the root.  Configuration and blank files are left out.
     """
     s = common.materialize(signs(common.files(chunks, languages=True)).withColumn("path", F.coalesce("path", F.lit(""))))
-    deep = s.withColumn("path", F.when(F.size(F.split("path", "/")) - 1 > LEVELS, F.concat_ws("/", F.slice(F.split("path", "/"), 1, LEVELS), F.lit("_"))).otherwise(F.col("path")))
+    depth = max(1, s.agg(F.max(F.size(F.split("path", "/")) - 1)).first()[0] or 0)
     # files by content: map-side combinable flags, no group is collected
     each = s.groupBy("hash", "hash2", "project").agg(F.max(F.col("licensed") | F.col("vendor_path")).alias("known"), F.max("size").alias("size_"))
     same = each.groupBy("hash", "hash2").agg(F.max("known").alias("known"), F.count("project").alias("projects"), F.max("size_").alias("size_"))
     copied = same.where((F.col("size_") >= LEAST_SHARED) & (F.col("known") | (F.col("projects") >= 2))).select("hash", "hash2", F.lit(True).alias("copied"))
-    trees = common.materialize(merkle(deep, LEVELS).where("n >= 2"))  # read three times below; without this the plan holds six levels thrice
+    trees = common.materialize(merkle(s, depth).where("n >= 2"))  # read three times below; without this the plan holds all levels thrice
     shared = trees.groupBy("hash", "hash2").agg(F.min("project").alias("p1"), F.max("project").alias("p2")).where("p1 <> p2").select("hash", "hash2")
     shared_dirs = trees.join(shared, ["hash", "hash2"], "left_semi").select("project", "dir").distinct().withColumn("in_tree", F.lit(True))
-    up = s.select("file_id", "project", F.explode(F.expr(f"transform(sequence(1, greatest(1, least({LEVELS}, size(split(path, '/')) - 1))), k -> array_join(slice(split(path, '/'), 1, k), '/'))")).alias("dir"))
+    up = s.select("file_id", "project", F.explode(F.expr("transform(sequence(1, greatest(1, size(split(path, '/')) - 1)), k -> array_join(slice(split(path, '/'), 1, k), '/'))")).alias("dir"))
     in_tree = up.join(shared_dirs, ["project", "dir"]).groupBy("file_id").agg(F.max("in_tree").alias("in_tree"))
     j = s.join(copied, ["hash", "hash2"], "left").join(in_tree, "file_id", "left")
     vendored = F.coalesce("copied", F.lit(False)) | F.coalesce("in_tree", F.lit(False)) | F.col("licensed") | F.col("vendor_path")

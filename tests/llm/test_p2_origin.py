@@ -67,5 +67,18 @@ def test_files_shared_by_two_or_three_projects(spark):
     assert {k: bool(v) for k, v in got.items()} == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False, 8: False}
 
 
+def test_deep_trees_and_late_marks(spark):
+    one, two = "x = 1\n", "y = 2\n"  # too small to be a copy by themselves
+    deep = "src/main/java/com/firm/app/core/kit/lib"
+    licence = "".join(f"# This line of the licence has the number {i}, and the rights it grants are many.\n" for i in range(80))
+    files = [
+        ("a", deep + "/m.py", one), ("a", deep + "/n.py", two), ("a", "src/main/java/com/firm/app/own.py", HAND),
+        ("b", "p/q/r/s/t/u/v/w/x/y/z/k/l/o/1.py", one), ("b", "p/q/r/s/t/u/v/w/x/y/z/k/l/o/2.py", two), ("b", "p/q/r/s/t/u/own.py", HAND.replace("total", "whole")),
+        ("c", "late.py", licence + "# Code generated by toolkit v3. DO NOT EDIT.\n\n" + HAND.replace("work", "toil")),
+    ]
+    got = reasons(spark, files)
+    assert {k: r for k, r in got.items()} == {0: ["vendored"], 1: ["vendored"], 2: [], 3: ["vendored"], 4: ["vendored"], 5: [], 6: ["generated"]}
+
+
 def test_empty(spark):
     assert reasons(spark, [("p", "a.txt", "x")]) == {}
