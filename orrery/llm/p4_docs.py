@@ -66,7 +66,7 @@ def parameters(signature: str | None) -> list[str]:
             item += ch
     out = []
     for it in [*items, item]:
-        it = it.split("=")[0].strip()
+        it = re.sub(r"(?:\w+)?::", "", it.split("=")[0]).strip()  # std::string name, not a name and its type
         words = re.findall(r"[A-Za-z_]\w*", it.split(":")[0] if ":" in it else it)
         if words:
             out += [words[0], words[-1]] if len(words) > 1 else words
@@ -122,33 +122,42 @@ def says(name: str | None, signature: str | None, doc: str | None, least: int =
     return new if new >= least else 0
 
 
+def leads(doc: str, name: str | None) -> bool:
+    """Whether a comment begins with a name that no word of a sentence is: one of several parts, or with its parentheses."""
+    m = re.match(r"\W*([^\W\d]\w*)(\(\))?", _MARKS.sub("", doc))
+    return bool(m and name and m[1] == name and (m[2] or len(parts(name)) > 1))
+
+
 def cost(doc: str, own: int, fn: tuple, k: int) -> float:
     """Of linking a comment that stands before function number own with function number k of the file."""
     name, params = fn
     tags = {t.lower() for t in _PARAM_TAG.findall(doc)}
     have = {p.lower() for p in params}
-    c = abs(k - own) * 1.5
+    c = abs(k - own) * 1.25
     if tags:
         c += 3.0 * len(tags - have) / len(tags)
     words = {stem(w) for w in _WORD.findall(doc)}
     named = [stem(w) for w in parts(name)]
-    if named and name and re.search(r"\b" + re.escape(name) + r"\b", doc):
+    if named and leads(doc, name):
+        c -= 3.0
+    elif named and name and re.search(r"\b" + re.escape(name) + r"\b", doc):
         c -= 1.0
     elif named:
         c -= 0.5 * sum(w in words for w in named) / len(named)
     return c
 
 
-#: Links dearer than this are implausible; a comment may go to a neighbour this far away.
-IMPLAUSIBLE, REACH = 3.5, 2
+#: Links dearer than this are implausible, as one of a comment all of whose tags are foreign (3.0) or most and no word of the name;
+#: a comment may go to a neighbour this far away (2.5 where its tags fit).
+IMPLAUSIBLE, REACH = 2.6, 2
 
 
 def assign(functions: list[tuple], comments: list[str]) -> list[int | None]:
     """For each function the index of the comment assigned to it: least total cost, none if implausible.
 
     functions are (name, params) in file order, comments[i] is the one before function i ("" for
-    none).  A comment competes for neighbours only where its tags do not fit its own function, so
-    the graph falls into parts of a few nodes; each is solved by shortest augmenting paths.
+    none).  A comment competes for neighbours only where its tags do not fit its own function but theirs, or
+    where it names them and not its own function and its tags, if any, fit them; so the graph falls into parts of a few nodes; each is solved by shortest augmenting paths.
     """
     n = len(functions)
     edges: dict[int, dict[int, float]] = {}
@@ -158,10 +167,11 @@ def assign(functions: list[tuple], comments: list[str]) -> list[int | None]:
         mine = cost(doc, i, functions[i], i)
         edges[i] = {i: mine}
         tags = {t.lower() for t in _PARAM_TAG.findall(doc)}
-        if tags and not tags <= {p.lower() for p in functions[i][1]}:
-            for k in range(max(0, i - REACH), min(n, i + REACH + 1)):
-                if k != i and tags <= {p.lower() for p in functions[k][1]}:
-                    edges[i][k] = cost(doc, i, functions[k], k)
+        foreign = tags and not tags <= {p.lower() for p in functions[i][1]}
+        words = set(re.findall(r"\w+", doc))
+        for k in range(max(0, i - REACH), min(n, i + REACH + 1)):
+            if k != i and tags <= {p.lower() for p in functions[k][1]} and (foreign or functions[k][0] in words and functions[i][0] not in words):
+                edges[i][k] = cost(doc, i, functions[k], k)
     owner: dict[int, int] = {}
     for i in edges:  # successive augmenting: Bellman-Ford over the few alternating paths
         dist, back, todo = {k: c for k, c in edges[i].items()}, {k: (i, None) for k in edges[i]}, list(edges[i])

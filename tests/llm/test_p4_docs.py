@@ -80,6 +80,24 @@ def test_a_comment_goes_where_its_tags_fit():
     assert p4_docs.assign(functions, ["@param target where\n@param data what", ""]) == [None, 0]
 
 
+def test_an_implausible_link_is_rejected():
+    doc = "/** Waits for the writers.\n * @param colour which\n * @param width how far\n */"
+    assert p4_docs.assign([("load", ["path"]), ("save", ["target"])], [doc, ""]) == [None, None]
+    assert p4_docs.assign([("load", ["colour"]), ("save", ["target"])], [doc, ""]) == [0, None]
+    assert p4_docs.assign([("a", []), ("b", []), ("save", ["colour", "width"])], [doc, "", ""]) == [None, None, 0]
+
+
+def test_parameters_with_qualified_types():
+    assert "origin" in p4_docs.parameters("std::string f(const std::string &origin, int n)")
+
+
+def test_an_untagged_comment_goes_to_the_function_it_names():
+    functions = [("loadPath", ["path"]), ("saveRows", ["rows"])]
+    assert p4_docs.assign(functions, ["// saveRows blocks until the disk has answered.", ""]) == [None, 0]
+    assert p4_docs.assign(functions, ["// saveRows blocks until the disk has answered.", "// loadPath follows links."]) == [1, 0]
+    assert p4_docs.assign(functions, ["// Undoes what saveRows did before.", ""]) == [0, None]
+
+
 def test_rows(spark):
     ship(spark)
     t, u = datetime(2024, 1, 1), datetime(2024, 1, 2)
