@@ -1,9 +1,9 @@
 """Problem 2: files not written by hand in their project.
 
-Four signs.  Vendored: Merkle hashes, built bottom-up over the directory trees without
-names, find files and subtrees that unrelated projects share; a licence header of a named
-release or a place under a vendor directory confirms single copies.  Generated: header and
-layout rules.  Minified and bulk data: layout rules.
+Merkle hashes, built bottom-up over the directory trees without names, find the files and
+subtrees that unrelated projects share.  Header and layout rules find the rest: generated,
+minified and bulk-data files, and single copies by the licence line of a named release or by
+a place under a vendor directory.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ GENERATED = (
     r"@generated\b|<auto-?generated|\bauto-?\s?generated\b|\b(code|file|source|module|sources) (was |is )?(automatically |auto-?)?generated\b|\bgenerated (automatically )?(by|from|with|using)\b"
     r"|\bdo not (edit|modify)\s*(!|[.;-]|$)|\b(edits?|changes?|modifications?) (is|are|will be|get|gets) (lost|overwritten|discarded)\b|\bmachine[- ]?(made|generated|written)\b"
     r"|\bproduced (by|from) (the build|templates?|\S+ \d|\S+\.\w+)|\b(emitted|created|compiled|built|made|written) (from|by) [\w./-]+(\.(idl|proto|tpl|gy|y|g4|json|xml|thrift|avsc)\b|;)"
-    r"|\bbindings for .*\b(re-?run|make)\b|\boutput of \S+( --?\w+|\.)|\bparser tables?\b.*\b(states|from)\b|\bre-?run [`'\"].*to refresh"
+    r"|\boutput of \S+ --?\w+|\b(re-?run|run) [`'\"][^`'\"]+[`'\"] to (refresh|update|regenerate|rebuild)\b|\btables?, .*\bfrom [\w./-]+\.(gy|y|yy|g4|l|lalr|peg|pest)\b"
     r"|generado autom[aá]ticamente|automatisch (erzeugt|generiert)|сгенерировано автоматически|автоматически сгенерирован|g[eé]n[eé]r[eé] automatiquement|自動生成|自动生成|gerado automaticamente|generato automaticamente"
 )
-BY_HAND = r"\bby the (editor|ide)\b|\bby hand,|\bunlike\b|\bstub\b|\bnext door\b|\bthis order\b|nicht von hand bearbeitet"
+# Marks in comments that an editor writes for people to fill in, or that say the file is no such one.
+BY_HAND = r"\bgenerated by the (editor|ide)\b|\bauto-?generated (\w+ )?stub\b|\b(not|never|isn't|n't) (auto-?)?generated\b|\b(written|kept|maintained) by hand\b"
 # Release and licence lines that third-party code carries.
 LICENCE = (
     r"(^|\s)@licen[cs]e\s+\S|redistribution (and use )?in source\b|\(c\) (the )?[\w.-]+ (authors|contributors|team|project)|^\s*(/\*!|//!?|#|\*)\s*[a-z][\w.-]+ v?\d+\.\d+(\.\d+)?\b"
@@ -54,9 +55,16 @@ def _bulk_data(text: Column) -> Column:
     return (items >= 40) & (words * 6 <= items)
 
 
-def _accessors(text: Column) -> Column:
-    """A run of functions that differ in a number only."""
-    return F.regexp_count(text, F.lit(r"(?m)^[ \t]*(?:pub |static |public |export |async |int |def |fn |func |function |\w+ )*\w*?[A-Za-z]_?\d+\([^)\n]*\)[^\n]*[{:][ \t]*\r?\n[ \t]*(?:return )?\w+\[\d+\];?[ \t]*\r?$")) >= 4
+#: Lines in a row that are equal but for their numbers, from this share of a file's lines of code on, are a tool's work.
+REPEATED_SHARE, REPEATED_LINES = 0.6, 8
+
+
+def _repeated(text: Column) -> Column:
+    """Most lines of code recur with nothing but other numbers: accessors, cases or entries written out by a tool."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace(text, _COMMENT, " "), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x) >= 8)
+    shapes = F.transform(F.filter(lines, lambda x: x.rlike(r"\d")), lambda x: F.regexp_replace(x, r"\d+", "0"))
+    again = F.size(shapes) - F.size(F.array_distinct(shapes))
+    return (again >= REPEATED_LINES) & (again >= REPEATED_SHARE * F.size(lines))
 
 
 def signs(files: DataFrame) -> DataFrame:
@@ -74,31 +82,32 @@ def signs(files: DataFrame) -> DataFrame:
     return files.where(code & (F.length(whole) > 0)).select(
         "file_id", "project", "path",
         F.xxhash64(squeezed).alias("hash"), F.xxhash64(F.reverse(squeezed), F.lit(1)).alias("hash2"), F.length(squeezed).alias("size"),
-        (says | _accessors(text)).alias("generated"), _minified(text, path).alias("minified"), _bulk_data(text).alias("data"),
+        (says | (_repeated(text) & ~_bulk_data(text))).alias("generated"), _minified(text, path).alias("minified"), _bulk_data(text).alias("data"),
         licensed.alias("licensed"), path.rlike(VENDOR_PATH).alias("vendor_path"),
     )
 
 
 def merkle(files: DataFrame, depth: int) -> DataFrame:
-    """(project, dir, hash, hash2, n): subtree hashes, built bottom-up, level by level.
+    """(project, dir, hash, hash2, n, copies): subtree hashes of every directory, the root "" included, bottom-up, level by level.
 
     A directory's hash is the sum of its entries' hashed hashes: it does not depend on names or
-    order, is combined on the map side, and no directory's entries are ever collected.
+    order, is combined on the map side, and no directory's entries are ever collected.  copies is
+    how many of its n files are copied.
     """
-    entry = files.select("project", F.split(F.coalesce("path", F.lit("")), "/").alias("p"), "hash", "hash2", F.lit(1).cast("bigint").alias("n")).withColumn("level", F.size("p") - 1)
-    entry = entry.select("project", F.array_join(F.expr("slice(p, 1, level)"), "/").alias("dir"), "level", "hash", "hash2", "n")
+    entry = files.select("project", F.split("path", "/").alias("p"), "hash", "hash2", F.lit(1).cast("bigint").alias("n"), F.col("copied").cast("bigint").alias("copies")).withColumn("level", F.size("p") - 1)
+    entry = entry.select("project", F.array_join(F.expr("slice(p, 1, level)"), "/").alias("dir"), "level", "hash", "hash2", "n", "copies")
     out, carry = None, None
-    for level in range(depth, 0, -1):
+    for level in range(depth, -1, -1):
         here = entry.where(F.col("level") == level)
         if carry is not None:
             here = here.unionByName(carry)
         total = lambda c, seed: F.sum(F.xxhash64(c, F.lit(seed)).cast("decimal(20,0)"))
-        done = here.groupBy("project", "dir").agg(total("hash", 7).alias("a"), total("hash2", 11).alias("b"), F.sum("n").alias("n"))
-        done = done.select("project", "dir", F.xxhash64("a", "n").alias("hash"), F.xxhash64("b", "n").alias("hash2"), "n")
-        if (depth - level) % LEVELS_A_PLAN == LEVELS_A_PLAN - 1 and level > 1:
+        done = here.groupBy("project", "dir").agg(total("hash", 7).alias("a"), total("hash2", 11).alias("b"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+        done = done.select("project", "dir", F.xxhash64("a", "n").alias("hash"), F.xxhash64("b", "n").alias("hash2"), "n", "copies")
+        if (depth - level) % LEVELS_A_PLAN == LEVELS_A_PLAN - 1 and level:
             done = common.materialize(done)
         out = done if out is None else out.unionByName(done)
-        carry = done.select("project", F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"), F.lit(level - 1).alias("level"), "hash", "hash2", "n")
+        carry = done.select("project", F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"), F.lit(level - 1).alias("level"), "hash", "hash2", "n", "copies")
     return out
 
 
@@ -106,32 +115,49 @@ def merkle(files: DataFrame, depth: int) -> DataFrame:
 LEVELS_A_PLAN = 6
 #: Shared content counts as copied from this many characters without white space; less may be coincidence.
 LEAST_SHARED = 120
+#: A directory below the root of so many files, of which this share is copied, is a copy with changes.
+PARTLY_FILES, PARTLY_SHARE = 5, 0.8
+#: Rows of one project and directory are spread over so many keys where they are joined.
+SALTS = 16
+
+
+def _salted(big: DataFrame, small: DataFrame, key: list[str], by: str) -> DataFrame:
+    """big's rows whose key is in small, which has a row per key; a hot key of big is spread by a hash of column by."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_")
+    return big.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(small.select(*key, salt), [*key, "salt_"], "left_semi").drop("salt_")
 
 
 def origin(chunks: DataFrame) -> DataFrame:
     """One row per source file: reasons why it is not hand-written in its project, an empty array if it is.
 
-    Vendored are: files of a licensed or vendor-path copy; every other file with the same content;
-    files in a subtree of two or more files that unrelated projects share, and files of LEAST_SHARED
-    characters or more that two or more projects share.  Null paths count as files at the root.  Configuration and blank files are left out.
+    copied: by Merkle hashes its content of LEAST_SHARED characters or more is in another project too,
+    or a directory above it is, or most of that directory's files are.  third party: by header and
+    place, or content equal to such a file's.  generated, minified, data: by header and layout.
+    Null paths count as files at the root; files without a project are in no tree.  Configuration
+    and blank files are left out.
     """
-    s = common.materialize(signs(common.files(chunks, languages=True)).withColumn("path", F.coalesce("path", F.lit(""))))
-    depth = max(1, s.agg(F.max(F.size(F.split("path", "/")) - 1)).first()[0] or 0)
+    s = signs(common.files(chunks, languages=True)).withColumn("path", F.coalesce("path", F.lit("")))
+    s = common.materialize(s.withColumn("known", F.col("licensed") | F.col("vendor_path")).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")))
     # files by content: map-side combinable flags, no group is collected
-    each = s.groupBy("hash", "hash2", "project").agg(F.max(F.col("licensed") | F.col("vendor_path")).alias("known"), F.max("size").alias("size_"))
-    same = each.groupBy("hash", "hash2").agg(F.max("known").alias("known"), F.count("project").alias("projects"), F.max("size_").alias("size_"))
-    copied = same.where((F.col("size_") >= LEAST_SHARED) & (F.col("known") | (F.col("projects") >= 2))).select("hash", "hash2", F.lit(True).alias("copied"))
-    trees = common.materialize(merkle(s, depth).where("n >= 2"))  # read three times below; without this the plan holds all levels thrice
-    shared = trees.groupBy("hash", "hash2").agg(F.min("project").alias("p1"), F.max("project").alias("p2")).where("p1 <> p2").select("hash", "hash2")
-    shared_dirs = trees.join(shared, ["hash", "hash2"], "left_semi").select("project", "dir").distinct().withColumn("in_tree", F.lit(True))
-    up = s.select("file_id", "project", F.explode(F.expr("transform(sequence(1, greatest(1, size(split(path, '/')) - 1)), k -> array_join(slice(split(path, '/'), 1, k), '/'))")).alias("dir"))
-    in_tree = up.join(shared_dirs, ["project", "dir"]).groupBy("file_id").agg(F.max("in_tree").alias("in_tree"))
-    j = s.join(copied, ["hash", "hash2"], "left").join(in_tree, "file_id", "left")
-    vendored = F.coalesce("copied", F.lit(False)) | F.coalesce("in_tree", F.lit(False)) | F.col("licensed") | F.col("vendor_path")
+    each = s.groupBy("hash", "hash2", "project").agg(F.max("known").alias("known"), F.max("size").alias("size_"))
+    same = each.groupBy("hash", "hash2").agg(F.max("known").alias("of_known"), F.count("project").alias("projects"), F.max("size_").alias("size_"))
+    same = same.where((F.col("size_") >= LEAST_SHARED) & (F.col("of_known") | (F.col("projects") >= 2))).select("hash", "hash2", "of_known", (F.col("projects") >= 2).alias("copied"))
+    s = s.join(same, ["hash", "hash2"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("of_known", "copied")})
+    s = common.materialize(s.select("file_id", "project", "path", "dir", "hash", "hash2", "generated", "minified", "data", "known", "of_known", "copied"))
+    depth = s.agg(F.max(F.size(F.split("path", "/")) - 1)).first()[0] or 0
+    trees = common.materialize(merkle(s, depth))  # read three times below; without this the plan holds all levels thrice
+    whole = trees.where("n >= 2").groupBy("hash", "hash2").agg(F.min("project").alias("p1"), F.max("project").alias("p2")).where("p1 <> p2").select("hash", "hash2")
+    partly = trees.where((F.col("dir") != "") & (F.col("n") >= PARTLY_FILES) & (F.col("copies") >= PARTLY_SHARE * F.col("n"))).select("project", "dir")
+    found = trees.join(whole, ["hash", "hash2"], "left_semi").select("project", "dir").unionByName(partly).distinct()
+    above = F.expr("transform(sequence(0, if(dir = '', 0, size(split(dir, '/')))), k -> array_join(slice(split(dir, '/'), 1, k), '/'))")
+    under = _salted(trees.select("project", F.col("dir").alias("own"), F.explode(above).alias("dir")), found, ["project", "dir"], "own").select("project", F.col("own").alias("dir")).distinct()
+    in_tree = _salted(s.select("file_id", "project", "dir"), under, ["project", "dir"], "file_id").select("file_id", F.lit(True).alias("in_tree"))
+    j = s.join(in_tree, "file_id", "left")
     reason = lambda c, name: F.when(c, F.lit(name))
+    copied = F.col("copied") | F.coalesce("in_tree", F.lit(False))
     return j.select(
         "file_id", "project", "path",
-        F.array_compact(F.array(reason(F.col("generated"), "generated"), reason(F.col("minified"), "minified"), reason(vendored, "vendored"), reason(F.col("data"), "data"))).alias("reasons"),
+        F.array_compact(F.array(reason(F.col("generated"), "generated"), reason(F.col("minified"), "minified"), reason(copied, "copied"), reason(F.col("known") | F.col("of_known"), "third party"), reason(F.col("data"), "data"))).alias("reasons"),
     )
 
 

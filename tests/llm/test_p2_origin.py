@@ -50,7 +50,7 @@ def test_vendored(spark):
         ("f", "src/r.js", "// moved here from vendor/ and rewritten; nothing of the old licence applies\n" + LIB.replace("run", "sit")),
     ]
     got = reasons(spark, files)
-    assert {files[i][0]: r for i, r in got.items()} == {"a": ["vendored"], "b": ["vendored"], "c": [], "d": [], "e": ["vendored"], "f": []}
+    assert {files[i][0]: r for i, r in got.items()} == {"a": ["copied", "third party"], "b": ["copied", "third party"], "c": [], "d": [], "e": ["third party"], "f": []}
 
 
 def test_shared_trees(spark):
@@ -77,7 +77,17 @@ def test_deep_trees_and_late_marks(spark):
         ("c", "late.py", licence + "# Code generated by toolkit v3. DO NOT EDIT.\n\n" + HAND.replace("work", "toil")),
     ]
     got = reasons(spark, files)
-    assert {k: r for k, r in got.items()} == {0: ["vendored"], 1: ["vendored"], 2: [], 3: ["vendored"], 4: ["vendored"], 5: [], 6: ["generated"]}
+    assert {k: r for k, r in got.items()} == {0: ["copied"], 1: ["copied"], 2: [], 3: ["copied"], 4: ["copied"], 5: [], 6: ["generated"]}
+
+
+def test_whole_and_partly_copied_trees(spark):
+    body = lambda w: LIB.replace("run", w)
+    small = [(p, f"{k}.py", f"x{k} = {k}\n") for p in "ab" for k in range(3)]  # a whole repository of files too small to be copies by themselves
+    partly = [("c", f"lib/kit/{k}.js", body(f"kit{k}")) for k in range(4)] + [("c", "lib/kit/own/patched.js", body("patched")), ("c", "src/own.js", body("mine"))]
+    partly += [("d", f"x/{k}.js", body(f"kit{k}")) for k in range(4)] + [("d", "y.js", body("other"))]
+    files = small + partly
+    got = reasons(spark, files)
+    assert {k: r for k, r in got.items() if r != ["copied"]} == {11: [], 16: []}
 
 
 def test_empty(spark):
