@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,39 +41,63 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[a-z]+)?")
 _WIDE = re.compile("[぀-ヿ㐀-䶿一-鿿가-힯]")
 
 
-def parts(name: str | None) -> list[str]:
-    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+", name or "")]
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
+_RECEIVER = re.compile(r"\s*func\s*\(")
+_NESTED = re.compile(r"[(\[{<>}\])]")
+_SCOPE = re.compile(r"(?:\w+)?::")
+_IDENT = re.compile(r"[A-Za-z_]\w*")
+# Words in a parameter list that are no parameter.
+_NO_PARAM = frozenset(("self", "this", "cls", "const", "mut", "final"))
+
+
+@lru_cache(1 << 15)
+def parts(name: str | None) -> tuple[str, ...]:
+    return tuple(w.lower() for w in _PARTS.findall(name or ""))
 
 
 def parameters(signature: str | None) -> list[str]:
     """Names in the outermost parentheses of a signature; a signature cut short still gives what it has."""
-    s = signature or ""
-    if "(" not in s:
-        return []
-    if re.match(r"\s*func\s*\(", s):  # a receiver comes first
+    return list(_parameters(signature or ""))
+
+
+@lru_cache(1 << 12)
+def _parameters(s: str) -> tuple[str, ...]:
+    if _RECEIVER.match(s):  # a receiver comes first
         s = s.split(")", 1)[-1]
-    depth, item, items = 0, "", []
-    for ch in s[s.find("(") + 1 :]:
-        if ch in "([{<":
-            depth += 1
-        elif ch in ")]}>":
-            if depth == 0:
-                break
-            depth -= 1
-        if ch == "," and depth == 0:
-            items.append(item)
-            item = ""
-        else:
-            item += ch
+    at = s.find("(")
+    if at < 0:
+        return ()
+    end = s.find(")", at)
+    inner = s[at + 1 : end if end >= 0 else len(s)]
+    if not _NESTED.search(inner):
+        items = inner.split(",")
+    else:
+        depth, item, items = 0, "", []
+        for ch in s[at + 1 :]:
+            if ch in "([{<":
+                depth += 1
+            elif ch in ")]}>":
+                if depth == 0:
+                    break
+                depth -= 1
+            if ch == "," and depth == 0:
+                items.append(item)
+                item = ""
+            else:
+                item += ch
+        items.append(item)
     out = []
-    for it in [*items, item]:
-        it = re.sub(r"(?:\w+)?::", "", it.split("=")[0]).strip()  # std::string name, not a name and its type
-        words = re.findall(r"[A-Za-z_]\w*", it.split(":")[0] if ":" in it else it)
+    for it in items:
+        it = it.split("=")[0]
+        if "::" in it:
+            it = _SCOPE.sub("", it)  # std::string name, not a name and its type
+        words = _IDENT.findall(it.split(":")[0] if ":" in it else it)
         if words:
             out += [words[0], words[-1]] if len(words) > 1 else words
-    return [w for w in dict.fromkeys(out) if w not in ("self", "this", "cls", "const", "mut", "final")]
+    return tuple(w for w in dict.fromkeys(out) if w not in _NO_PARAM)
 
 
+@lru_cache(1 << 16)
 def stem(w: str) -> str:
     w = w.lower()
     for end in ("ies", "ied"):
@@ -110,13 +135,19 @@ def description(doc: str | None) -> list[str]:
     return [x for x in out if x]
 
 
+_LEAD = re.compile(r"\W*([^\W\d]\w*)(\(\))?")
+_ONE_WORD = re.compile(r"\w+")
+
+
 def says(name: str | None, signature: str | None, doc: str | None, least: int = 2) -> int:
     """How many words of the description neither the name nor the parameters nor empty words hold; 0 below least."""
     known = {stem(w) for w in parts(name)} | {stem(w) for p in parameters(signature) for w in parts(p)}
     new = 0
     for line in description(doc):
-        new += len(_WIDE.findall(line)) // 2
-        for w in _WORD.findall(_WIDE.sub(" ", line)):
+        if not line.isascii():
+            new += len(_WIDE.findall(line)) // 2
+            line = _WIDE.sub(" ", line)
+        for w in _WORD.findall(line):
             if len(w) > 1 and w.lower() not in _EMPTY_WORDS and stem(w) not in known:
                 new += 1
     return new if new >= least else 0
@@ -124,8 +155,10 @@ def says(name: str | None, signature: str | None, doc: str | None, least: int =
 
 def leads(doc: str, name: str | None) -> bool:
     """Whether a comment begins with a name that no word of a sentence is: one of several parts, or with its parentheses."""
-    m = re.match(r"\W*([^\W\d]\w*)(\(\))?", _MARKS.sub("", doc))
-    return bool(m and name and m[1] == name and (m[2] or len(parts(name)) > 1))
+    if not name or name not in doc:
+        return False
+    m = _LEAD.match(_MARKS.sub("", doc))
+    return bool(m and m[1] == name and (m[2] or len(parts(name)) > 1))
 
 
 def cost(doc: str, own: int, fn: tuple, k: int) -> float:
@@ -140,7 +173,7 @@ def cost(doc: str, own: int, fn: tuple, k: int) -> float:
     named = [stem(w) for w in parts(name)]
     if named and leads(doc, name):
         c -= 3.0
-    elif named and name and re.search(r"\b" + re.escape(name) + r"\b", doc):
+    elif named and name and name in doc and name in _ONE_WORD.findall(doc):
         c -= 1.0
     elif named:
         c -= 0.5 * sum(w in words for w in named) / len(named)
@@ -152,26 +185,49 @@ def cost(doc: str, own: int, fn: tuple, k: int) -> float:
 IMPLAUSIBLE, REACH = 2.6, 2
 
 
-def assign(functions: list[tuple], comments: list[str]) -> list[int | None]:
-    """For each function the index of the comment assigned to it: least total cost, none if implausible.
+def links(functions: list[tuple], comments: list[str]) -> dict[int, dict[int, float]]:
+    """{comment: {function: cost}}: the links that can be in a cheapest assignment.
 
     functions are (name, params) in file order, comments[i] is the one before function i ("" for
-    none).  A comment competes for neighbours only where its tags do not fit its own function but theirs, or
-    where it names them and not its own function and its tags, if any, fit them; so the graph falls into parts of a few nodes; each is solved by shortest augmenting paths.
+    none).  A comment competes for neighbours where its tags do not fit its own function but theirs,
+    where it names them and not its own function and its tags, if any, fit them, or where another comment
+    wants its function; anywhere else its own function is the cheapest.
     """
     n = len(functions)
     edges: dict[int, dict[int, float]] = {}
+    have = [frozenset(p.lower() for p in params) for _, params in functions]
     for i, doc in enumerate(comments):
         if not doc:
             continue
-        mine = cost(doc, i, functions[i], i)
-        edges[i] = {i: mine}
-        tags = {t.lower() for t in _PARAM_TAG.findall(doc)}
-        foreign = tags and not tags <= {p.lower() for p in functions[i][1]}
-        words = set(re.findall(r"\w+", doc))
-        for k in range(max(0, i - REACH), min(n, i + REACH + 1)):
-            if k != i and tags <= {p.lower() for p in functions[k][1]} and (foreign or functions[k][0] in words and functions[i][0] not in words):
-                edges[i][k] = cost(doc, i, functions[k], k)
+        tags = {t.lower() for t in _PARAM_TAG.findall(doc)} if "@" in doc or ":" in doc or "\\" in doc else set()
+        foreign = bool(tags) and not tags <= have[i]
+        near = [k for k in range(max(0, i - REACH), min(n, i + REACH + 1)) if k != i]
+        named = [k for k in near if functions[k][0] and functions[k][0] in doc]
+        if named:
+            words = set(_ONE_WORD.findall(doc))
+            named = [k for k in named if functions[k][0] in words] if functions[i][0] not in words else []
+        rivals = [k for k in (near if foreign else named) if tags <= have[k]]
+        if not foreign and not rivals:  # the link to its own function is the cheapest, and plausible
+            edges[i] = {i: 0.0}
+            continue
+        edges[i] = {k: cost(doc, i, functions[k], k) for k in [i, *rivals]}
+    restless = [i for i, e in edges.items() if len(e) > 1]
+    for i in restless:  # a comment whose function another one wants may go where that one came from, or where there is none
+        for j in [k for k in edges[i] if k != i and k in edges and len(edges[k]) == 1]:
+            doc = comments[j]
+            tags = {t.lower() for t in _PARAM_TAG.findall(doc)}
+            free = [k for k in range(max(0, j - REACH), min(n, j + REACH + 1)) if k != j and (k == i or k not in edges) and tags <= have[k]]
+            edges[j] = {k: cost(doc, j, functions[k], k) for k in [j, *free]}
+    return edges
+
+
+def assign(functions: list[tuple], comments: list[str]) -> list[int | None]:
+    """For each function the index of the comment assigned to it: least total cost over ``links``, none if implausible.
+
+    As many comments as can be are assigned.  The links fall into parts of a few nodes; each is
+    solved by shortest augmenting paths.
+    """
+    edges = links(functions, comments)
     owner: dict[int, int] = {}
     for i in edges:  # successive augmenting: Bellman-Ford over the few alternating paths
         dist, back, todo = {k: c for k, c in edges[i].items()}, {k: (i, None) for k in edges[i]}, list(edges[i])
@@ -191,7 +247,7 @@ def assign(functions: list[tuple], comments: list[str]) -> list[int | None]:
             while k is not None:
                 j, before = back[k]
                 owner[k], k = j, before
-    return [owner[k] if k in owner and edges[owner[k]][k] <= IMPLAUSIBLE else None for k in range(n)]
+    return [owner[k] if k in owner and edges[owner[k]][k] <= IMPLAUSIBLE else None for k in range(len(functions))]
 
 
 _SCHEMA = "symbol_id bigint, file_id bigint, name string, kind string, signature string, doc_comment string, words int"
