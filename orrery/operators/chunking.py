@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS, MAX_WINDOWS = 1500, 28
 
 
 def windows(docs: DataFrame, size: int = MAX_CHARS, most: int = MAX_WINDOWS) -> DataFrame:
-    """(id, chunk_index, line_start, line_end, text) windows of (id, text); all in built-in expressions.
+    """(id, chunk_index, line_start, line_end, text) windows of (id, text), built in the row: nothing is shuffled.
 
     Windows of size characters start every size - size // 6; each but the last is cut at its last
     line end if that lies beyond half the size in bytes.  Texts within size are one window, blank or
@@ -20,21 +20,26 @@ def windows(docs: DataFrame, size: int = MAX_CHARS, most: int = MAX_WINDOWS) ->
     empty texts have none.
     """
     step = max(size - size // 6, 1)
-    text, n = F.col("text"), F.length("text")
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
-    d = docs.where("length(text) > 0").select("id", "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    w = F.substring(text, F.col("k") * step + 1, F.lit(size))
-    d = d.select("id", "k", n.alias("n"), w.alias("w"), (F.length(text) <= size).alias("whole"), F.substring(text, F.lit(1), F.col("k") * step).alias("before"))
-    pos = F.length("w") - F.locate("\n", F.reverse("w"))  # characters before the last line end
-    cut = (F.col("k") * step + size < F.col("n")) & (F.instr("w", "\n") > 0) & (F.octet_length(F.substring("w", F.lit(1), pos)) > size // 2)
-    d = d.withColumn("t", F.when(cut, F.substring("w", F.lit(1), pos)).otherwise(F.col("w")))
-    ends = lambda c: F.length(c) - F.length(F.replace(F.col(c) if isinstance(c, str) else c, F.lit("\n")))
-    lines = F.greatest(F.lit(1), ends("t") + F.when(F.endswith("t", F.lit("\n")), 0).otherwise(1))
-    first = F.when(F.col("whole"), 1).otherwise(ends("before") + 1)
-    d = d.where(F.col("whole") | F.col("t").rlike(r"\S"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("k")) - 1
-    d = d.withColumn("chunk_index", rank).where(F.col("chunk_index") < most)
-    return d.select("id", "chunk_index", first.cast("int").alias("line_start"), F.when(F.col("whole"), lines).otherwise(first + ends("t")).cast("int").alias("line_end"), F.col("t").alias("text"))
+    ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
+    last = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step).cast("int"))
+    d = docs.where("length(text) > 0").select("id", "text", F.length("text").alias("n"), F.sequence(F.lit(0), last).alias("ks"))
+
+    def window(k):
+        w = F.substring(F.col("text"), k * step + 1, F.lit(size))
+        pos = F.length(w) - F.locate("\n", F.reverse(w))  # characters before the last line end
+        head = F.substring(w, F.lit(1), pos)
+        cut = (k * step + size < F.col("n")) & (F.instr(w, "\n") > 0) & (F.octet_length(head) > size // 2)
+        return F.struct(k.alias("k"), F.when(cut, head).otherwise(w).alias("t"))
+
+    kept = F.slice(F.filter(F.transform("ks", window), lambda x: (F.col("n") <= size) | x["t"].rlike(r"\S")), 1, most)
+    # line ends of every step, so that those before a window are a sum of the steps before it
+    steps = F.transform("ks", lambda k: ends(F.substring(F.col("text"), k * step + 1, F.lit(step))))
+    d = d.select("id", (F.col("n") <= size).alias("whole"), kept.alias("kept"), steps.alias("steps"))
+    first = lambda x: F.aggregate(F.slice(F.col("steps"), F.lit(1), x["k"]), F.lit(1), lambda s, y: s + y)
+    d = d.select("id", "whole", F.posexplode(F.transform("kept", lambda x: F.struct(x["t"].alias("t"), first(x).alias("first")))).alias("chunk_index", "w"))
+    t, one = F.col("w.t"), F.col("w.first")
+    lines = F.greatest(F.lit(1), ends(t) + F.when(F.endswith(t, F.lit("\n")), 0).otherwise(1))
+    return d.select("id", "chunk_index", one.alias("line_start"), F.when(F.col("whole"), lines).otherwise(one + ends(t)).cast("int").alias("line_end"), t.alias("text"))
 
 
 def pack_lines(text: str, limit: int = MAX_CHARS, base: int = 1) -> list[tuple[str, int, int]]:

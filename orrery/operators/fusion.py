@@ -33,32 +33,34 @@ def fuse(hits: DataFrame, classes: DataFrame, k: int = 100, digits: int = 9) ->
     w = F.broadcast(weights(hits.sparkSession))
     j = hits.join(classes, "query_id").join(w, ["query_class", "source"])
     s = j.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / (RRF_K + F.col("rank") + 1)), digits).alias("score"))
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1
-    return s.withColumn("rank", r).where(F.col("rank") < k)
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return s.withColumn("rank", r).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
-def overlap_grade(query: str, text: str) -> float:
-    """A deterministic stand-in for a model that grades relevance from 0 to 10."""
+def overlap_grade(pairs: list[tuple[str, str]]) -> list[float]:
+    """A deterministic stand-in for a model that grades the relevance of (query, text) pairs from 0 to 10."""
     import re
 
-    q = set(re.findall(r"\w+", (query or "").lower()))
-    t = set(re.findall(r"\w+", (text or "").lower()))
-    return 10.0 * len(q & t) / len(q) if q else 0.0
+    out = []
+    for query, text in pairs:
+        q, t = (set(re.findall(r"\w+", (x or "").lower())) for x in (query, text))
+        out.append(10.0 * len(q & t) / len(q) if q else 0.0)
+    return out
 
 
 def rerank(candidates: DataFrame, grade=overlap_grade, batch: int = 8, pool: int = POOL) -> DataFrame:
     """(query_id, id, score): the pool best of (query_id, id, score, query, text), 0.7 of the grade / 10 plus 0.3 of the score.
 
-    grade is called per pair in Arrow batches of batch rows' worth; candidates beyond the pool are left out.
+    grade gets lists of at most batch (query, text) pairs; candidates beyond the pool are left out.
     """
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     c = candidates.withColumn("r", r).where(F.col("r") <= pool).drop("r")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                yield pd.DataFrame({"query_id": part["query_id"], "id": part["id"], "score": part["score"], "grade": [float(grade(a, b)) for a, b in zip(part["query"], part["text"])]})
+            pairs = list(zip(pdf["query"], pdf["text"]))
+            grades = [float(g) for at in range(0, len(pairs), batch) for g in grade(pairs[at : at + batch])]
+            yield pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"], "score": pdf["score"], "grade": grades})
 
     g = c.select("query_id", "id", "score", "query", "text").mapInPandas(run, "query_id bigint, id bigint, score double, grade double")
     return g.select("query_id", "id", F.round(RERANK_SHARE * F.col("grade") / 10 + (1 - RERANK_SHARE) * F.col("score"), 9).alias("score"))

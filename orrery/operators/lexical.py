@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..shared import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -16,30 +17,71 @@ def token_stats(docs: DataFrame) -> DataFrame:
     return t.groupBy("token").agg(F.sum("tf").alias("uses"), F.count("*").alias("docs"))
 
 
+def index(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(token, id, dl, tf): the postings of (id, text), written once, with a row of the empty token per document.
+
+    The texts are scanned and cut into tokens once, whatever is asked of the index afterwards.
+    With asked (token), only those tokens are written.
+    """
+    d = docs.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    words = d.select("id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"))
+    if asked is not None:
+        mark = docs.sparkSession.range(1).select(F.lit("").alias("token"))
+        words = words.join(asked.select("token").unionByName(mark).distinct(), "token", "left_semi")
+    return written(words.groupBy("token", "id", "dl").agg(F.count("*").alias("tf")), "postings")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """``ranked_by_index`` over postings of docs (id, text) made for these queries (query_id, text)."""
+    asked = written(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")), "asked")
+    return ranked_by_index(index(docs, asked), asked, k, digits)
+
+
+#: Postings of one token are spread over so many keys, by document.
+SALTS = 16
+#: Steps of a posting's weight, of 0 to 2.2, at which postings are counted for the lower bound of the k-th.
+STEPS = 22
+#: Only essential tokens make candidates where that leaves at most one of so many pairs of query and document.
+PRUNE_FROM = 3
+
+
+def ranked_by_index(postings: DataFrame, asked: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): the k best documents per query, rank from 0, ties to the smaller id.
 
-    docs are (id, text), queries (query_id, text).  A document's length is the size of its token
-    array; only tokens that some query holds are exploded into postings.  A token counts once per query.
-    Parts are rounded before they are summed, so that the score does not depend on the order of rows.
+    asked are (query_id, token), each token once per query.  Parts are rounded before they are
+    summed, so that the score does not depend on the order of rows.  The k best stay exact while
+    common tokens make no candidates: what the k-th posting of a query's most telling token weighs at
+    least is a lower bound of the k-th score, tokens whose greatest parts together stay below it are
+    not essential, and a document without an essential token cannot be among the k best.
     """
-    d = docs.select("id", tokens(F.col("text")).alias("t"))
-    size = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
-    n, avg = size.select("n").scalar(), size.select("avg").scalar()
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    terms = q.select("token").distinct()
-    post = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("token")).join(terms, "token", "left_semi").groupBy("token", "id", "dl").agg(F.count("*").alias("tf"))
-    df = post.groupBy("token").agg(F.count("*").alias("df"))
+    size = postings.where("token = ''").agg(F.count("*"), F.avg("dl")).first()
+    n, avg = F.lit(size[0]), F.lit(size[1] or 1.0)
+    g = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
+    post = postings.where("token <> ''").select("token", "id", g.alias("g"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    at = [(K1 + 1) * x / STEPS for x in range(1, STEPS)]
+    many = [F.count(F.when(F.col("g") >= x, 1)).alias(f"c{i}") for i, x in enumerate(at)]
+    df = post.groupBy("token").agg(F.count("*").alias("df"), F.max("g").alias("most"), *many)
     idf = F.greatest(F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    s = q.join(df, "token").join(post, "token").groupBy("query_id", "id").agg(F.round(F.sum(F.round(part, digits)), digits).alias("score"))
-    return ranked(s, "query_id", "id", "score", k)
+    kth = F.greatest(F.lit(0.0), *[F.when(F.col(f"c{i}") >= k, x).otherwise(0.0) for i, x in enumerate(at)])
+    terms = asked.join(df, "token").select("query_id", "token", "df", idf.alias("idf"), (idf * F.col("most")).alias("most"), (idf * kth).alias("kth"))
+    of, rising = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
+    essential = F.sum("most").over(rising) + 1e-4 >= F.max("kth").over(of)
+    terms = written(terms.select("query_id", "token", "df", "idf", essential.alias("essential")), "terms")
+    pairs = terms.agg(F.sum("df"), F.sum(F.when(F.col("essential"), F.col("df")))).first()
+    prune = (pairs[1] or 0) * PRUNE_FROM <= (pairs[0] or 0)  # both ways give the same rows; candidates cost a second look at the postings
+    part = F.round(F.col("idf") * F.col("g") * 10**digits).cast("bigint").alias("s")  # whole numbers add up exactly
+    salted = (terms.where("essential") if prune else terms).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    s = salted.join(post, ["token", "salt"]).groupBy("query_id", "id").agg(F.sum(part).alias("s"))
+    if prune:
+        rest = s.select("query_id", "id").join(terms.where("not essential"), "query_id").join(post, ["token", "id"]).select("query_id", "id", part)
+        s = s.unionByName(rest).groupBy("query_id", "id").agg(F.sum("s").alias("s"))
+    return ranked(s.select("query_id", "id", (F.col("s") / 10**digits).alias("score")), "query_id", "id", "score", k)
 
 
 def ranked(hits: DataFrame, query: str, item: str, score: str, k: int) -> DataFrame:
     """The k best items per query with their rank from 0; ties go to the smaller item."""
-    r = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), item)) - 1
-    return hits.withColumn("rank", r).where(F.col("rank") < k)
+    r = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), item))
+    return hits.withColumn("rank", r).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)  # the plain bound lets each task cut to k before the shuffle
 
 
 def path_matches(paths: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -53,11 +95,15 @@ def path_matches(paths: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
 def symbol_prefix(symbols: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, score, rank): symbols (id, name) whose lower-cased name starts with the query, shorter names first.
 
-    An equi-join on the first two characters carries the prefix test; prefixes of one character join on that one.
+    Names are cut to the lengths that queries have and joined on the whole prefix; of each prefix
+    only the k best names leave a task, so a prefix that a third of all names share moves little.
     """
     q = queries.select("query_id", F.lower(F.trim("text")).alias("prefix")).where("prefix <> ''")
+    wanted = q.select("prefix").distinct()
+    lengths = wanted.agg(F.array_sort(F.collect_set(F.length("prefix")))).first()[0]  # no more than the longest prefix has characters
     s = symbols.where("name <> ''").select("id", F.lower("name").alias("name"))
-    keys = s.select("id", "name", F.explode(F.array(F.substring("name", 1, 1), F.substring("name", 1, 2))).alias("key")).distinct()
-    j = q.withColumn("key", F.substring("prefix", 1, 2)).join(keys, "key").where(F.startswith("name", "prefix"))
-    j = j.groupBy("query_id", "id").agg(F.max(F.round(F.length("prefix") / F.length("name"), 6)).alias("score"))
+    cuts = F.filter(F.lit(lengths) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("name"))
+    keys = s.select("id", F.length("name").alias("n"), F.explode(F.transform(cuts, lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("prefix")).join(wanted, "prefix", "left_semi")
+    keys = keys.groupBy("prefix", "id").agg(F.min("n").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("prefix").orderBy("n", "id"))).where(F.col("r") <= k)
+    j = q.join(keys, "prefix").groupBy("query_id", "id").agg(F.max(F.round(F.length("prefix") / F.col("n"), 6)).alias("score"))
     return ranked(j, "query_id", "id", "score", k)

@@ -26,47 +26,83 @@ def normalize_distances(hits: DataFrame, by: list[str], item: str) -> DataFrame:
     return best.withColumn("score", score).drop("sim")
 
 
+#: So many queries, of so many numbers together, are sent to every task; more are cut into blocks.
+FEW_QUERIES, FEW_NUMBERS = 2048, 4_000_000
+
+
+def _stack(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors])
+
+
+def _topk(ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, squared: bool, rounded: int | None):
+    """(query rows, ids, distances) of the k nearest x of each y, ties to the smaller id."""
+    rows, items, dist = [], [], []
+    norm = (x * x).sum(1)
+    take = min(len(ids), k + 32)
+    for at in range(0, len(y), 256):
+        q = y[at : at + 256]
+        rough = (q * q).sum(1)[:, None] + norm[None, :] - 2 * q @ x.T
+        near = np.argpartition(rough, take - 1, axis=1)[:, :take]
+        for one, c in [(None, near)] if take == len(ids) else [(None, near)] + [(r, None) for r in np.flatnonzero((rough <= np.take_along_axis(rough, near, 1).max(1)[:, None] + 1e-9).sum(1) > take)]:
+            if one is None:
+                d, who, c = ((x[c] - q[:, None, :]) ** 2).sum(2), np.arange(len(q)), ids[c]
+            else:  # more could tie with the last one than were taken
+                c = np.flatnonzero(rough[one] <= rough[one][near[one]].max() + 1e-9)
+                d, who, c = ((x[c] - q[one]) ** 2).sum(1)[None, :], np.array([one]), ids[c][None, :]
+            d = d if squared else np.sqrt(d)
+            d = d if rounded is None else np.round(d, rounded)
+            o = np.lexsort((c, d), axis=1)[:, :k]
+            rows.append(np.repeat(who + at, o.shape[1]))
+            items.append(np.take_along_axis(c, o, 1).ravel())
+            dist.append(np.take_along_axis(d, o, 1).ravel())
+    return np.concatenate(rows), np.concatenate(items), np.concatenate(dist)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, squared: bool = True, block: int = 50_000, rounded: int | None = None) -> DataFrame:
     """(query_id, item_id, distance): the max(k, 1) nearest vectors of each query by L2 distance, ties to the smaller id.
 
-    vectors are (item_id, vector), queries (query_id, vector).  Both sides are cut into blocks by a
-    hash; a pair of blocks is one matrix product, of which only the k best per query leave, so
-    neither side is broadcast or collected.  Null vectors and vectors of another length than the
-    query's do not match.  rounded digits make ties of nearly equal distances.
+    vectors are (item_id, vector), queries (query_id, vector).  Up to FEW_QUERIES queries of
+    FEW_NUMBERS numbers are sent to the tasks that scan the vectors, of which none is shuffled: a
+    task lets only its k best per query go.  More queries are cut into blocks, as are the vectors,
+    and a pair of blocks is one matrix product.  Null vectors and vectors of another length than
+    the query's do not match.  rounded digits make ties of nearly equal distances.
     """
     k = max(k, 1)
     vectors = vectors.where("vector is not null and item_id is not null").select("item_id", "vector")
     queries = queries.where("vector is not null and query_id is not null").select("query_id", F.col("vector").alias("qv"))
-    nv = max(1, -(-vectors.count() // block))
-    nq = max(1, -(-queries.count() // 4096))
-    v = vectors.withColumn("vb", F.pmod(F.xxhash64("item_id"), F.lit(nv))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)).cast("array<bigint>")))
+    schema = "query_id bigint, item_id bigint, distance double"
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
+        sizes = left["vector"].map(len)
         for dim, part in right.groupby(right["qv"].map(len)):
-            same = left[left["vector"].map(len) == dim]
+            same = left[sizes == dim]
             if not len(same) or not dim:
                 continue
-            x, ids = np.stack(same["vector"].to_numpy()).astype(np.float64), same["item_id"].to_numpy()
-            for at in range(0, len(part), 512):
-                qs = part.iloc[at : at + 512]
-                y = np.stack(qs["qv"].to_numpy()).astype(np.float64)
-                rough = (y * y).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * y @ x.T
-                take = min(len(ids), k + 32)
-                near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-                for row, qid in enumerate(qs["query_id"]):
-                    c = near[row]
-                    if take < len(ids):  # all that could tie with the last one
-                        c = np.flatnonzero(rough[row] <= rough[row][c].max() + 1e-9)
-                    d = ((x[c] - y[row]) ** 2).sum(1)
-                    d = d if squared else np.sqrt(d)
-                    d = d if rounded is None else np.round(d, rounded)
-                    o = np.lexsort((ids[c], d))[:k]
-                    out.append(pd.DataFrame({"query_id": qid, "item_id": ids[c][o], "distance": d[o]}))
+            r, i, d = _topk(same["item_id"].to_numpy(), _stack(same["vector"]), _stack(part["qv"]), k, squared, rounded)
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[r], "item_id": i, "distance": d}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
 
-    hits = v.groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb")).applyInPandas(multiply, "query_id bigint, item_id bigint, distance double")
+    size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("qv")), F.lit(0))).first()
+    if size[0] <= FEW_QUERIES and size[1] <= FEW_NUMBERS:
+        few = queries.toPandas()
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
+            for pdf in batches:
+                got = multiply(pdf, few)
+                best = got if best is None else pd.concat([best, got])
+                if len(best) > 4 * k * max(1, len(few)):
+                    best = best.sort_values(["query_id", "distance", "item_id"]).groupby("query_id").head(k)
+            if best is not None and len(best):
+                yield best.sort_values(["query_id", "distance", "item_id"]).groupby("query_id").head(k)
+
+        hits = vectors.mapInPandas(scan, schema)
+    else:
+        nv, nq = max(1, -(-vectors.count() // block)), max(1, -(-size[0] // 4096))
+        v = vectors.withColumn("vb", F.pmod(F.xxhash64("item_id"), F.lit(nv))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
+        q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)).cast("array<bigint>")))
+        hits = v.groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb")).applyInPandas(multiply, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id"))
     return hits.where("not isnan(distance)").withColumn("r", rank).where(F.col("r") <= k).drop("r")
 

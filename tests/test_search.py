@@ -21,6 +21,24 @@ def test_bm25_by_hand(spark):
     assert got == {1: part(2, 3), 4: part(1, 1)}
 
 
+def test_bm25_with_and_without_pruning(spark):
+    """Common words beside rare ones: the pruned way gives the same rows as the plain one."""
+    import random
+
+    random.seed(8)
+    docs = spark.createDataFrame([(i, " ".join(random.choices(["the", "of", "and"], k=random.randint(5, 30)) + random.choices([f"w{j}" for j in range(60)], k=3))) for i in range(400)], "id bigint, text string")
+    q = spark.createDataFrame([(i, f"the of w{i} w{i + 1}") for i in range(40)] + [(99, "the")], "query_id bigint, text string")
+    old = lexical.PRUNE_FROM
+    try:
+        lexical.PRUNE_FROM = 0
+        pruned = rows(lexical.bm25(docs, q, 3))
+        lexical.PRUNE_FROM = 1e9
+        plain = rows(lexical.bm25(docs, q, 3))
+    finally:
+        lexical.PRUNE_FROM = old
+    assert pruned == plain and len(plain) == 41 * 3
+
+
 def test_token_stats(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "id bigint, text string")
     assert rows(lexical.token_stats(docs)) == [("a", 2, 1), ("b", 2, 2)]
