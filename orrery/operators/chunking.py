@@ -19,27 +19,35 @@ def windows(docs: DataFrame, size: int = MAX_CHARS, most: int = MAX_WINDOWS) ->
     not; blank windows of longer texts are dropped, and at most ``most`` windows are kept.  Null and
     empty texts have none.
     """
+    d = window_arrays(docs.where("length(text) > 0").select("id", "text"), ["id"], size, most)
+    return d.select("id", F.posexplode("windows").alias("chunk_index", "w")).select("id", "chunk_index", "w.line_start", "w.line_end", "w.text")
+
+
+def window_arrays(docs: DataFrame, keep: list[str], size: int = MAX_CHARS, most: int = MAX_WINDOWS) -> DataFrame:
+    """The keep columns of docs with the windows of text as an array of (text, line_start, line_end), null for null text."""
     step = max(size - size // 6, 1)
     ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
     last = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step).cast("int"))
-    d = docs.where("length(text) > 0").select("id", "text", F.length("text").alias("n"), F.sequence(F.lit(0), last).alias("ks"))
+    d = docs.select(*keep, "text", F.length("text").alias("n_"), F.when(F.length("text") > 0, F.sequence(F.lit(0), last)).alias("ks_"))
 
     def window(k):
         w = F.substring(F.col("text"), k * step + 1, F.lit(size))
         pos = F.length(w) - F.locate("\n", F.reverse(w))  # characters before the last line end
         head = F.substring(w, F.lit(1), pos)
-        cut = (k * step + size < F.col("n")) & (F.instr(w, "\n") > 0) & (F.octet_length(head) > size // 2)
+        cut = (k * step + size < F.col("n_")) & (F.instr(w, "\n") > 0) & (F.octet_length(head) > size // 2)
         return F.struct(k.alias("k"), F.when(cut, head).otherwise(w).alias("t"))
 
-    kept = F.slice(F.filter(F.transform("ks", window), lambda x: (F.col("n") <= size) | x["t"].rlike(r"\S")), 1, most)
+    kept = F.slice(F.filter(F.transform("ks_", window), lambda x: (F.col("n_") <= size) | x["t"].rlike(r"\S")), 1, most)
     # line ends of every step, so that those before a window are a sum of the steps before it
-    steps = F.transform("ks", lambda k: ends(F.substring(F.col("text"), k * step + 1, F.lit(step))))
-    d = d.select("id", (F.col("n") <= size).alias("whole"), kept.alias("kept"), steps.alias("steps"))
-    first = lambda x: F.aggregate(F.slice(F.col("steps"), F.lit(1), x["k"]), F.lit(1), lambda s, y: s + y)
-    d = d.select("id", "whole", F.posexplode(F.transform("kept", lambda x: F.struct(x["t"].alias("t"), first(x).alias("first")))).alias("chunk_index", "w"))
-    t, one = F.col("w.t"), F.col("w.first")
-    lines = F.greatest(F.lit(1), ends(t) + F.when(F.endswith(t, F.lit("\n")), 0).otherwise(1))
-    return d.select("id", "chunk_index", one.alias("line_start"), F.when(F.col("whole"), lines).otherwise(one + ends(t)).cast("int").alias("line_end"), t.alias("text"))
+    steps = F.transform("ks_", lambda k: ends(F.substring(F.col("text"), k * step + 1, F.lit(step))))
+    d = d.select(*keep, (F.col("n_") <= size).alias("whole_"), kept.alias("kept_"), steps.alias("steps_"))
+
+    def placed(x):
+        t, one = x["t"], F.aggregate(F.slice(F.col("steps_"), F.lit(1), x["k"]), F.lit(1), lambda s, y: s + y)
+        lines = F.greatest(F.lit(1), ends(t) + F.when(F.endswith(t, F.lit("\n")), 0).otherwise(1))
+        return F.struct(t.alias("text"), one.alias("line_start"), F.when(F.col("whole_"), lines).otherwise(one + ends(t)).cast("int").alias("line_end"))
+
+    return d.select(*keep, F.transform("kept_", placed).alias("windows"))
 
 
 def pack_lines(text: str, limit: int = MAX_CHARS, base: int = 1) -> list[tuple[str, int, int]]:

@@ -73,9 +73,12 @@ def hyde_blend(original: DataFrame, hypothetical: DataFrame) -> DataFrame:
 
 
 def tier(hits: DataFrame, projects: DataFrame, least: int = TIER_FROM, keep: int = TIER_KEEP) -> DataFrame:
-    """hits (query_id, id, project, score) of each query's keep best projects, by their best hit; all hits below least projects."""
-    best = hits.groupBy("query_id", "project").agg(F.max("score").alias("best"))
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best"), "project"))
+    """hits (query_id, id, project, score) of each query's keep best projects, by their best hit; all hits below least projects.
+
+    A project is ranked by a window over the hits, which are computed once.
+    """
     n = projects.select("project").distinct().agg(F.count("*")).scalar()
-    top = best.withColumn("r", r).withColumn("n", n).where((F.col("r") <= keep) | (F.col("n") < least)).select("query_id", "project")
-    return hits.join(top, ["query_id", "project"], "left_semi").select(hits.columns)
+    best = F.max("score").over(Window.partitionBy("query_id", "project"))
+    r = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("best_"), "project"))
+    top = hits.withColumn("best_", best).withColumn("r_", r).withColumn("n_", n)
+    return top.where(((F.col("r_") <= keep) | (F.col("n_") < least)) & ((F.col("n_") < least) | F.col("project").isNotNull())).select(hits.columns)

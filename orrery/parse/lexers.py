@@ -1,9 +1,7 @@
-"""Tokens and bracket trees of the nine parsed languages.
+"""Tokens of the nine parsed languages.
 
 ``tokens(text, lang)`` gives classes and offsets; a token no language has ("!" and a
-name) never fits a grammar, so it costs an edit.  ``tree`` nests brackets; a bracket
-without a partner is repaired at minimum cost by an interval chart over the brackets
-that do not cancel.
+name) never fits a grammar.
 """
 
 from __future__ import annotations
@@ -76,6 +74,8 @@ _JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _VALUE_END = frozenset(["i", "n", "s", "r", "t", "/jsx", ")", "]", "}", "this", "super", "null", "true", "false"])
 _ASI_END = _VALUE_END | frozenset(["return", "break", "continue", "++", "--", "debugger"])
 _NO_ASI_WORD = frozenset(["in", "instanceof", "else", "catch", "finally", "extends", "implements", "of", "as", "is", "satisfies", "from"])
+# Words that no expression holds: at the start of a line they end an open bracket's claim to the line.
+_PY_STATEMENT = frozenset(["def", "class", "return", "import", "while", "with", "try", "except", "finally", "raise", "assert", "del", "pass", "break", "continue", "global", "nonlocal"])
 _GO_END = frozenset(["i", "n", "s", "c", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"])
 
 
@@ -214,7 +214,7 @@ def _python(text: str, aside: list | None = None):
     off: list = []
     pos, n, depth = 0, len(text), 0
     levels = [0]
-    fresh, indent = True, 0
+    fresh, indent, begun = True, 0, True  # begun: nothing but white space since the line began, inside brackets too
     while pos < n:
         m = match(text, pos)
         if m is None:
@@ -222,7 +222,7 @@ def _python(text: str, aside: list | None = None):
         else:
             kind, start, pos, w = m.lastgroup, pos, m.end(), m.group()
         if kind == "ws":
-            if fresh and not depth and w[0] != "\\":
+            if begun and w[0] != "\\":
                 indent = len(w.lstrip("\ufeff").expandtabs(8))
             continue
         if kind == "com":
@@ -234,8 +234,14 @@ def _python(text: str, aside: list | None = None):
                 if not fresh:
                     cls.append("nl")
                     off.append(start)
-                fresh, indent = True, 0
+                fresh = True
+            begun, indent = True, 0
             continue
+        if begun and depth and w in _PY_STATEMENT:
+            cls.append("nl")
+            off.append(start)
+            depth, fresh = 0, True
+        begun = False
         if fresh and not depth:
             fresh = False
             if kind != "mark":
@@ -263,7 +269,7 @@ def _python(text: str, aside: list | None = None):
             cls.append(kind)
         elif kind == "mark":
             cls.append("!mark")
-            fresh = True
+            fresh = begun = True
         else:
             cls.append("!open" if kind.startswith("bad") else "!number")
             if kind == "bad":
@@ -479,134 +485,3 @@ class _Script:
                 return m.end() if m else pos + 1
             else:
                 pos = self.element(pos - 1)
-
-
-def tree(cls: list, off: list, forest):
-    """(sequence, places, bracket edits): brackets nested and interned; places mirror the nesting."""
-    edits = _bracket_edits(cls, off)
-    drop = {k for k, what in edits if what == "drop"}
-    close: dict = {}
-    for k, what in edits:
-        if what != "drop":
-            close.setdefault(k, []).append(what)
-    stack: list = [("", [], [])]
-
-    def shut():
-        if len(stack) > 1:
-            opener, seq, places = stack.pop()
-            line = places.pop() if opener != "B" and seq and seq[-1] == "nl" else None  # an open bracket does not keep the line's end
-            stack[-1][1].append(forest.add(opener, tuple(seq[:-1] if line is not None else seq)))
-            stack[-1][2].append((places[0], places[1:]))
-            if line is not None:
-                stack[-1][1].append("nl")
-                stack[-1][2].append(line)
-
-    for k, c in enumerate(cls):
-        for _ in close.get(k, ()):
-            shut()
-        if k in drop:
-            continue
-        if c in PARTNER or c == "{B":
-            stack.append(("B" if c == "{B" else c, [], [off[k]]))
-        elif c in CLOSERS or c == "}B":
-            shut()
-        else:
-            stack[-1][1].append(c)
-            stack[-1][2].append(off[k])
-    for _ in range(len(stack) - 1):
-        shut()
-    return tuple(stack[0][1]), stack[0][2], [(off[k] if k < len(off) else -1, what) for k, what in edits]
-
-
-def _unbalanced(cls: list):
-    """The brackets that do not cancel, as (class, index)."""
-    left: list = []
-    for k, c in enumerate(cls):
-        if c in PARTNER or c == "{B":
-            left.append((c, k))
-        elif c in CLOSERS or c == "}B":
-            want = CLOSERS.get(c, "{B")
-            if left and left[-1][0] == want:
-                left.pop()
-            else:
-                left.append((c, k))
-    return left
-
-
-#: Up to so many unbalanced brackets are repaired at the least cost; more in one pass, whose cost may be higher.
-EXACT_BRACKETS = 400
-
-
-def bracket_bound(cls: list) -> int:
-    """The least cost of balancing the brackets; of more than EXACT_BRACKETS a lower bound: what each kind needs by itself."""
-    left = _unbalanced(cls)
-    if len(_core(left)[1]) <= EXACT_BRACKETS:
-        return len(_bracket_edits(cls, []))
-    kinds = {CLOSERS.get(c, "{B" if c == "}B" else c) for c, _ in left}
-    return sum(len(_unbalanced([c for c, _ in left if c == o or CLOSERS.get(c, "{B" if c == "}B" else "") == o])) for o in kinds)
-
-
-def _core(left: list):
-    """(closers before any opener, the rest, openers after any closer): the outer ones have no partner."""
-    a, b = 0, len(left)
-    opens = lambda c: c in PARTNER or c == "{B"
-    while a < b and not opens(left[a][0]):
-        a += 1
-    while b > a and opens(left[b - 1][0]):
-        b -= 1
-    return left[:a], left[a:b], left[b:]
-
-
-def _bracket_edits(cls: list, off: list, exact: int = EXACT_BRACKETS):
-    """Least insertions and deletions that balance the brackets: [(index, "drop" | opener closed before index)]."""
-    left = _unbalanced(cls)
-    if not left:
-        return []
-    n = len(cls)
-    if len(_core(left)[1]) > exact:
-        out, stack = [], []
-        for c, k in left:
-            if c in PARTNER or c == "{B":
-                stack.append((c, k))
-                continue
-            want = CLOSERS.get(c, "{B")
-            if any(o == want for o, _ in stack):
-                while stack[-1][0] != want:
-                    out.append((k, stack.pop()[0]))
-                stack.pop()
-            else:
-                out.append((k, "drop"))
-        return out + [(n, c) for c, _ in reversed(stack)]
-    before, left, after = _core(left)
-    m = len(left)
-    best = [[0] * (m + 1) for _ in range(m + 1)]
-    how: dict = {}
-    for size in range(1, m + 1):
-        for a in range(0, m - size + 1):
-            b = a + size
-            c, k = left[a]
-            opens = c in PARTNER or c == "{B"
-            cost, way = best[a + 1][b] + 1, None
-            if opens:
-                want = PARTNER.get(c, "}B")
-                for j in range(a + 1, b):
-                    if left[j][0] == want and best[a + 1][j] + best[j + 1][b] < cost:
-                        cost, way = best[a + 1][j] + best[j + 1][b], j
-            best[a][b] = cost
-            how[a, b] = way
-    out, todo = [(k, "drop") for _, k in before] + [(n, c) for c, _ in after], [(0, m)]
-    while todo:
-        a, b = todo.pop()
-        if a >= b:
-            continue
-        c, k = left[a]
-        way = how[a, b]
-        if way is None:
-            if c in PARTNER or c == "{B":
-                out.append((left[b][1] if b < m else n, c))
-            else:
-                out.append((k, "drop"))
-            todo.append((a + 1, b))
-        else:
-            todo += [(a + 1, way), (way + 1, b)]
-    return out

@@ -233,7 +233,7 @@ def import_resolve(spark, d):
     return imports.resolve(i, f.select("project", "path", F.col("file_id").alias("ordinal")))
 
 
-@query()
+@query("SELECT DISTINCT project, source_file AS src_path, resolved AS dst_path FROM (" + SQL["import_resolve"] + ") WHERE resolved <> ''")
 def dependency_edges(spark, d):
     return imports.dependency_edges(import_resolve(spark, d))
 
@@ -247,8 +247,7 @@ def _sources(spark, d):
 @query()
 def code_chunks(spark, d):
     """Files parsed again into semantic chunks, windows where nothing was found."""
-    f = _sources(spark, d)
-    return code.chunks(code.analyze(f), f).select(F.col("id").alias("file_id"), "chunk_index", "kind", "symbol_name", "parent_context", "line_start", "line_end", F.md5("text").alias("text_md5"), "context_header")
+    return code.chunks(code.analyze(_sources(spark, d))).select(F.col("id").alias("file_id"), "chunk_index", "kind", "symbol_name", "parent_context", "line_start", "line_end", F.md5("text").alias("text_md5"), "context_header")
 
 
 @query()
@@ -355,18 +354,19 @@ def query_classify(spark, d):
 _WEIGHTS = "w(query_class, source, weight) AS (VALUES " + ", ".join(f"('{c}', '{s}', {x})" for c, ws in fusion.WEIGHTS.items() for s, x in ws.items()) + ")"
 
 
-@query(
-    "WITH " + _NAME_QUERIES + ", " + _top(_BM25, 20) + f""", cp AS (SELECT chunk_id AS id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(rel_path), '[/._-]'), lambda x: x <> ''))) AS word FROM ({_CHUNKS}) WHERE rel_path IS NOT NULL),
+_FUSE3 = "WITH " + _NAME_QUERIES + ", " + _top(_BM25, 20) + f""", cp AS (SELECT chunk_id AS id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(rel_path), '[/._-]'), lambda x: x <> ''))) AS word FROM ({_CHUNKS}) WHERE rel_path IS NOT NULL),
 qw AS (SELECT query_id, list_distinct({_TOK.format(t='text')}) AS t FROM q), qp AS (SELECT query_id, len(t) AS n, unnest(t) AS word FROM qw WHERE len(t) > 0),
 ps AS (SELECT query_id, id, round(count(*) / any_value(n), 6) AS score FROM qp JOIN cp USING (word) GROUP BY 1, 2),
 path AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM ps QUALIFY rank < 20),
 ss AS (SELECT query_id, c.chunk_id AS id, round(length(trim(q.text)) / length(c.symbol_name), 6) AS score FROM q JOIN ({_CHUNKS}) c ON c.symbol_name <> '' AND starts_with(lower(c.symbol_name), lower(trim(q.text)))),
 sym AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM ss QUALIFY rank < 20),
-h AS (SELECT query_id, 'lexical' AS source, id, rank FROM lex UNION ALL SELECT query_id, 'path', id, rank FROM path UNION ALL SELECT query_id, 'symbol', id, rank FROM sym),
-k AS (SELECT query_id, {text.query_class_sql('text')} AS query_class FROM q), {_WEIGHTS},
-r AS (SELECT query_id, id, round(sum(weight / (60 + rank + 1)), 9) AS score FROM h JOIN k USING (query_id) JOIN w USING (query_class, source) GROUP BY 1, 2)
-SELECT query_id, id AS chunk_id, round(score, 7) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20"""
-)
+k AS (SELECT query_id, {text.query_class_sql('text')} AS query_class FROM q), {_WEIGHTS}, """
+_HITS3 = "SELECT query_id, 'lexical' AS source, id, rank FROM lex UNION ALL SELECT query_id, 'path', id, rank FROM path UNION ALL SELECT query_id, 'symbol', id, rank FROM sym"
+_SUM = "SELECT query_id, id, round(sum(weight / (60 + rank + 1)), 9) AS score FROM h JOIN k USING (query_id) JOIN w USING (query_class, source) GROUP BY 1, 2"
+
+
+@query(_FUSE3 + f"""h AS ({_HITS3}), r AS ({_SUM})
+SELECT query_id, id AS chunk_id, round(score, 7) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20""")
 def rrf_fusion(spark, d):
     """Three sources fused by weighted reciprocal rank."""
     q = _name_queries(spark, d)
@@ -384,15 +384,28 @@ def rrf_fusion(spark, d):
     return fused.select("query_id", F.col("id").alias("chunk_id"), F.round("score", 7).alias("score"))
 
 
-@query()
-def search(spark, d):
-    """Four sources, fused: the words of every twentieth symbol, with the vector of the symbol's first chunk as query vector."""
+_VECTORS = f"""st AS ({_ONCE}), fi AS (SELECT file_id, min(chunk_id) AS chunk_id FROM ({_CHUNKS}) GROUP BY 1),
+qv AS (SELECT symbol_id AS query_id, st.v FROM ({_SYMBOLS}) y JOIN fi USING (file_id) JOIN st USING (chunk_id) WHERE symbol_id % 20 = 0),
+nd AS (SELECT query_id, st.chunk_id AS id, round(pow(list_distance(qv.v, st.v), 2), 6) AS distance FROM qv, st),
+nr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM nd QUALIFY rank < {{k}})"""
+_FUSE4 = _FUSE3 + _top(_VECTORS, 60) + f""", h AS ({_HITS3} UNION ALL SELECT query_id, 'vector', id, rank FROM nr WHERE rank < 20), r AS ({_SUM}),
+fu AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM r QUALIFY rank < 20)"""
+
+
+def _asked(spark, d):
+    """Latest chunks and vectors, the words of every twentieth symbol, and the vectors of the symbols' first chunks."""
     q = _name_queries(spark, d)
     c = plan.latest_chunks(_t(spark, d, "semantic_chunks"))
     stored = plan.latest_vectors(_t(spark, d, "chunks"))
     first = c.groupBy("file_id").agg(F.min("chunk_id").alias("item_id"))
     qv = _symbols(spark, d).where("symbol_id % 20 = 0").join(first, "file_id").join(stored, "item_id").select(F.col("symbol_id").alias("query_id"), "vector")
-    return plan.fused(c, stored, q, qv).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
+    return c, stored, q, qv
+
+
+@query(_FUSE4 + " SELECT query_id, id AS chunk_id, round(score, 7) AS score, rank::BIGINT AS rank FROM fu")
+def search(spark, d):
+    """Four sources, fused: the words of every twentieth symbol, with the vector of the symbol's first chunk as query vector."""
+    return plan.fused(*_asked(spark, d)).select("query_id", F.col("id").alias("chunk_id"), F.round("score", 7).alias("score"), *_big("rank"))
 
 
 @query(
@@ -552,25 +565,95 @@ def pack_order(spark, d):
     return packing.coherent(_hits(spark, d)).select("query_id", F.col("id").alias("chunk_id"), *_big("position"))
 
 
-@query()
+_DEDUP = f""", pt AS MATERIALIZED (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r, list_transform(list_distinct({_TOK.format(t="coalesce(text, '')")}), lambda x: hash(x)) AS t FROM hits),
+pp AS MATERIALIZED (SELECT a.query_id, a.r AS ra, b.r AS rb, len(a.t) + len(b.t) AS n, len(list_intersect(a.t, b.t)) AS i FROM pt a JOIN pt b ON a.query_id = b.query_id AND a.r < b.r AND len(a.t) <= 3 * len(b.t) AND len(b.t) <= 3 * len(a.t)),
+nl AS MATERIALIZED (SELECT pt.query_id, pt.r, list(pp.ra) FILTER (WHERE pp.i > 0.5 * (pp.n - pp.i)) AS like_ FROM pt LEFT JOIN pp ON pp.query_id = pt.query_id AND pp.rb = pt.r GROUP BY 1, 2),
+kf AS (SELECT DISTINCT query_id, 0 AS r, []::BIGINT[] AS kept FROM pt UNION ALL SELECT nl.query_id, nl.r, CASE WHEN len(list_intersect(kf.kept, coalesce(nl.like_, []))) > 0 THEN kf.kept ELSE list_append(kf.kept, nl.r) END FROM kf JOIN nl ON nl.query_id = kf.query_id AND nl.r = kf.r + 1),
+kl AS (SELECT query_id, unnest(arg_max(kept, r)) AS r FROM kf GROUP BY 1), dd AS (SELECT h.* FROM hits h JOIN pt USING (query_id, id) JOIN kl USING (query_id, r))"""
+_RECURSIVE = _HITS.replace("WITH ", "WITH RECURSIVE ", 1)
+_PACK = _RECURSIVE + _DEDUP + """, a AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, id) <= 3), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id, project ORDER BY score DESC, id) <= 8),
+u AS (SELECT *, sum(length(coalesce(text, ''))) OVER (PARTITION BY query_id ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM b), ch AS (SELECT query_id, id, score, file_id, project, chunk_index FROM u WHERE used <= 12000)"""
+
+
+@query(_RECURSIVE + _DEDUP + " SELECT query_id, id AS chunk_id, score FROM dd")
 def pack_dedup(spark, d):
-    """A greedy pass over each query's sixty best; tested against a loop."""
+    """A greedy pass over each query's sixty best."""
     return packing.dedup(_hits(spark, d)).select("query_id", F.col("id").alias("chunk_id"), "score")
 
 
-@query()
+@query(
+    _PACK + f""", al AS (SELECT chunk_id AS id, file_id, chunk_index FROM ({_CHUNKS})),
+rc AS (SELECT ch.query_id, ch.id AS seed, ch.score, al.id, row_number() OVER (PARTITION BY ch.query_id, ch.id ORDER BY abs(al.chunk_index - ch.chunk_index), al.chunk_index, al.id) AS rank FROM ch JOIN al ON al.file_id = ch.file_id AND al.chunk_index <> ch.chunk_index AND abs(al.chunk_index - ch.chunk_index) <= 3 WHERE NOT EXISTS (SELECT 1 FROM ch x WHERE x.query_id = ch.query_id AND x.id = al.id) QUALIFY rank <= 3),
+rl AS (SELECT query_id, id, max(score) AS score FROM rc GROUP BY 1, 2), ev AS (SELECT query_id, id, score, file_id, chunk_index, 'hit' AS role FROM ch UNION ALL SELECT rl.query_id, rl.id, rl.score, al.file_id, al.chunk_index, 'related' FROM rl JOIN al USING (id)),
+o AS (SELECT *, max(score) OVER (PARTITION BY query_id, file_id) AS best FROM ev)
+SELECT query_id, id AS chunk_id, file_id, chunk_index::BIGINT AS chunk_index, role, (row_number() OVER (PARTITION BY query_id ORDER BY best DESC, file_id, chunk_index, id))::BIGINT AS position FROM o"""
+)
 def pack_context(spark, d):
-    return packing.pack(_hits(spark, d)).select("query_id", F.col("id").alias("chunk_id"), "file_id", "project", "chunk_index", "score", "position")
+    """Dedup, caps, budget, related chunks and order in one chain."""
+    c = plan.latest_chunks(_t(spark, d, "semantic_chunks"))
+    return plan.context(_hits(spark, d), c).select("query_id", F.col("id").alias("chunk_id"), "file_id", *_big("chunk_index"), "role", *_big("position"))
+
+
+@query(
+    _PACK + f""", cd AS (SELECT DISTINCT query_id, file_id FROM ch), c2 AS ({_CHUNKS}), g AS (SELECT file_id, line_start, coalesce(text, '') AS t, greatest(0, coalesce(line_start, 1) - coalesce(lag(coalesce(line_end, line_start, 1)) OVER (PARTITION BY file_id ORDER BY line_start, chunk_index), 1)) AS gap, chunk_index FROM c2),
+wf AS (SELECT file_id, md5(string_agg(repeat(chr(10), gap) || t, '' ORDER BY line_start, chunk_index)) AS text_md5 FROM g GROUP BY 1) SELECT query_id, file_id, text_md5 FROM cd JOIN wf USING (file_id)"""
+)
+def pack_documents(spark, d):
+    """The whole documents of what was packed."""
+    p = packing.pack(_hits(spark, d)).select("query_id", "file_id").distinct()
+    c = _t(spark, d, "semantic_chunks").join(p.select("file_id").distinct(), "file_id", "left_semi")
+    return p.join(packing.documents(c), "file_id").select("query_id", "file_id", F.md5("text").alias("text_md5"))
+
+
+def _hyde(texts: list[str]) -> list[str]:
+    return [t + " " + t.replace(" ", "_") for t in texts]
+
+
+@query(
+    _FUSE4.replace("WITH ", "WITH ", 1) + ", " + _EDGES + f""", pj AS (SELECT fu.query_id, fu.id, c.project, fu.score FROM fu JOIN ({_CHUNKS}) c ON c.chunk_id = fu.id), tb AS (SELECT query_id, project, max(score) AS best FROM pj GROUP BY 1, 2),
+tt AS (SELECT query_id, project FROM tb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY best DESC, project) <= 10), hi AS (SELECT pj.* FROM pj JOIN tt USING (query_id, project)),
+se AS (SELECT query_id, project, max(score) AS seed_score FROM (SELECT * FROM hi WHERE project IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5) GROUP BY 1, 2),
+ew AS (SELECT src, dst, least(0.90, 0.20 + 0.70 * strength) * 0.6 AS w FROM ed), z AS (SELECT DISTINCT project AS seed FROM se), o1 AS (SELECT seed, dst AS project, w AS weight FROM z JOIN ew ON seed = src), o2 AS (SELECT seed, ew.dst AS project, weight * ew.w AS weight FROM o1 JOIN ew ON project = src),
+wy AS (SELECT seed, project, round(max(weight), 9) AS weight FROM (SELECT seed, seed AS project, 1.0 AS weight FROM z UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o2) GROUP BY 1, 2),
+dr AS (SELECT nr.query_id, nr.id, se.seed_score * CASE WHEN wy.seed = wy.project THEN 0.76 + 0.12 * round(1 / (1 + nr.distance), 9) ELSE wy.weight END AS score FROM nr JOIN ({_CHUNKS}) c ON c.chunk_id = nr.id JOIN wy ON wy.project = c.project JOIN se ON se.query_id = nr.query_id AND se.project = wy.seed),
+ex AS (SELECT query_id, id, round(max(score), 9) AS score FROM (SELECT query_id, id, score FROM hi UNION ALL SELECT * FROM dr) GROUP BY 1, 2),
+po AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 60), sc AS (SELECT query_id, id, CASE WHEN max(score) OVER v > min(score) OVER v THEN (score - min(score) OVER v) / (max(score) OVER v - min(score) OVER v) ELSE 1.0 END AS score FROM po WINDOW v AS (PARTITION BY query_id)),
+gr AS (SELECT sc.query_id, sc.id, sc.score, list_distinct({_TOK.format(t='q.text')}) AS a, list_distinct({_TOK.format(t="coalesce(c.text, '')")}) AS b FROM sc JOIN q USING (query_id) JOIN ({_CHUNKS}) c ON c.chunk_id = sc.id)
+SELECT query_id, id AS chunk_id, round(0.7 * len(list_intersect(a, b)) / len(a) + 0.3 * score, 5) AS score FROM gr"""
+)
+def full_search(spark, d):
+    """Four sources fused, narrowed to ten projects, expanded through the graph, sixty re-ranked in batches; the tier starts at one project here."""
+    c, stored, q, qv = _asked(spark, d)
+    found = plan.full(c, stored, q, qv, _t(spark, d, "projects"), _edges(spark, d), _word_grade, tier_from=1, tier_keep=10)
+    return found.select("query_id", F.col("id").alias("chunk_id"), F.round("score", 5).alias("score"))
+
+
+def _word_grade(pairs: list[tuple[str, str]]) -> list[float]:
+    """Grades by the share of the query's tokens, letters and digits, that the text has."""
+    import regex
+
+    words = lambda x: set(regex.findall(r"[\p{L}\p{N}]+", (x or "").lower()))
+    return [10.0 * len(words(a) & words(b)) / max(1, len(words(a))) for a, b in pairs]
 
 
 @query()
+def hyde_search(spark, d):
+    """The first sentences of documents as queries; those in natural language get a hypothetical text, embedded by hashed words, as a second vector query."""
+    docs = _t(spark, d, "documents")
+    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("how does "), F.substring_index(F.substring_index("text", "\n", 1), ".", 1)).alias("text"))
+    stored = vectors.embed(docs.select(F.col("doc_id").alias("id"), "text"), vectors.hashed_words()).withColumnRenamed("id", "item_id")
+    qv = vectors.embed(q.withColumnRenamed("query_id", "id"), vectors.hashed_words()).withColumnRenamed("id", "query_id")
+    second = vectors.search(stored, plan.hypothetical(q, _hyde, vectors.hashed_words()), 20, rounded=6)
+    return fusion.hyde_blend(vectors.search(stored, qv, 20, rounded=6).withColumnRenamed("item_id", "id"), second.withColumnRenamed("item_id", "id"))
+
+
+@query(f"WITH o AS ({_ONCE}) SELECT chunk_id, len(v)::BIGINT AS dim, round(list_sum(v), 5) AS total FROM o")
 def stream_upsert(spark, d):
     """The vector table taken in as a stream of micro-batches into a versioned store; equal to one batch."""
-    import tempfile
-
+    from ..shared import scratch
     from ..streaming import watch
 
-    folder = (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")) + "/stream-" + spark.sparkContext.applicationId + "-" + str(abs(hash(d)) % 10**9)
+    folder = scratch(spark, "stream")
     s = _t(spark, d, "chunks")
     fine = F.col("chunk_id").isNotNull() & (F.size("vector") == 64) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x))
     s.where(fine).repartition(4).write.mode("overwrite").parquet(f"{folder}/in")

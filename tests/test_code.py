@@ -83,9 +83,9 @@ def test_files(spark):
     rows = [(1, "pkg/auth.py", PY), (2, "a.txt", "words\n"), (3, "b.py", None), (4, "c.py", "x = 1\n"), (5, None, "z"), (6, "bad.rs", "fn ( { ]] }")]
     f = spark.createDataFrame(rows, "id bigint, path string, text string")
     a = code.analyze(f)
-    got = [(r.id, r.chunk_index, r.kind) for r in code.chunks(a, f).orderBy("id", "chunk_index").collect()]
+    got = [(r.id, r.chunk_index, r.kind) for r in code.chunks(a).orderBy("id", "chunk_index").collect()]
     assert got[:4] == [(1, 0, "Preamble"), (1, 1, "ImportBlock"), (1, 2, "TypeHeader"), (1, 3, "Function")]
     assert (2, 0, "TextWindow") in got and (4, 0, "TextWindow") in got and not any(g[0] == 3 for g in got)
     assert code.symbols(a).count() == 3 and code.imports(a).count() == 2
-    head = code.chunks(a, f).where("id = 1 and kind = 'TypeHeader'").first().context_header
+    head = code.chunks(a).where("id = 1 and kind = 'TypeHeader'").first().context_header
     assert head == "// File: pkg/auth.py\n// Type: A"
