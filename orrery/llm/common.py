@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
+from .. import schemas, shared
 from ..functions import text as text_functions
 
 #: Extension -> language of the nine parsed languages.
@@ -65,14 +65,10 @@ def files(chunks: DataFrame, languages: bool = False) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, written to the session's checkpoint folder.
+    """df with its lineage cut, written to the session's checkpoint folder (``shared.folder``)."""
+    shared.folder(df.sparkSession)
+    return df.checkpoint()
 
-    The folder is spark.checkpoint.dir, which all executors share on a cluster; only where it is
-    unset, as in tests on one machine, a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+def scratch(spark: SparkSession, name: str) -> str:
+    return shared.scratch(spark, name)

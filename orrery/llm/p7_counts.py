@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 STATE = "import_kind string, raw_specifier string, file_id bigint, uses bigint"
 RARE_FILES = 3
 COMMON_SHARE = 0.05
@@ -22,26 +26,64 @@ def counted(imports: DataFrame) -> DataFrame:
     return r.where("import_kind <> '' and raw_specifier <> '' and file_id is not null")
 
 
-def deltas(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Signed changes of uses per (kind, specifier, file) between two versions of the counted rows.
+_KEY = ["import_id", "import_kind", "raw_specifier", "file_id"]
+_TERM = ["import_kind", "raw_specifier", "file_id"]
+
 
-    Only records that were added, changed or deleted contribute; equal records cancel before the
-    aggregation by value.
+def deltas(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """Signed changes of uses per (kind, specifier, file) from the counted rows that a change took away and brought.
+
+    Only the records of the change are read: a changed record is in both, an unchanged one in neither.
+    Equal records cancel before the aggregation by value.
     """
-    key = ["import_id", "import_kind", "raw_specifier", "file_id"]
-    signed = before.select(*key, F.lit(-1).cast("bigint").alias("d")).unionByName(after.select(*key, F.lit(1).cast("bigint").alias("d")))
-    changed = signed.groupBy(*key).agg(F.sum("d").alias("d")).where("d <> 0")
-    return changed.groupBy("import_kind", "raw_specifier", "file_id").agg(F.sum("d").alias("uses")).where("uses <> 0")
+    signed = removed.select(*_KEY, F.lit(-1).cast("bigint").alias("d")).unionByName(added.select(*_KEY, F.lit(1).cast("bigint").alias("d")))
+    changed = signed.groupBy(*_KEY).agg(F.sum("d").alias("d")).where("d <> 0")
+    return changed.groupBy(*_TERM).agg(F.sum("d").alias("uses")).where("uses <> 0")
 
 
 def merge(state: DataFrame, change: DataFrame) -> DataFrame:
     """The state after a change: uses per (kind, specifier, file); what falls to zero is gone."""
-    return state.unionByName(change).groupBy("import_kind", "raw_specifier", "file_id").agg(F.sum("uses").alias("uses")).where("uses <> 0")
+    return state.unionByName(change).groupBy(*_TERM).agg(F.sum("uses").alias("uses")).where("uses <> 0")
 
 
-def save(state: DataFrame, path: str, buckets: int = 64) -> None:
-    """Writes a state partitioned by a hash of the term, so that a later merge can rewrite single partitions."""
-    state.withColumn("bucket", F.pmod(F.xxhash64("import_kind", "raw_specifier"), F.lit(buckets))).repartition(buckets, "bucket", F.pmod(F.xxhash64("file_id"), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+@dataclass(frozen=True)
+class Counts:
+    """Persistent counts: a folder of buckets by a hash of term and file, of which a change rewrites those it touches.
+
+    A version holds the buckets that it changed; current tells which version of a bucket counts and
+    is handed on by the caller, so a merge that fails changes nothing.  A hot term's files are spread
+    over all buckets.
+    """
+
+    path: str
+    buckets: int = 64
+
+    def _put(self, df: DataFrame, version: int, touched: list[int]) -> dict:
+        spark = df.sparkSession
+        b = F.pmod(F.xxhash64(*_TERM), F.lit(self.buckets)).cast("int")
+        tasks = min(self.buckets, max(1, len(touched)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        df.withColumn("bucket", b).repartition(tasks, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
+        names = [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+        return {int(n[7:]): version for n in names if n.startswith("bucket=")}
+
+    def load(self, spark: SparkSession, current: dict, only: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in sorted(current.items()) if only is None or b in only]
+        return spark.read.schema(STATE).parquet(*paths) if paths else empty_state(spark)
+
+    def apply(self, change: DataFrame, current: dict | None = None) -> dict:
+        """The buckets that count after a change (deltas): those it touches are read, merged and written anew."""
+        spark, current = change.sparkSession, current or {}
+        version = max(current.values(), default=0) + 1
+        if not current:
+            return self._put(change.where("uses <> 0"), version, list(range(self.buckets)))
+        b = F.pmod(F.xxhash64(*_TERM), F.lit(self.buckets)).cast("int")
+        change = common.materialize(change)
+        touched = [r[0] for r in change.select(b.alias("b")).distinct().collect()]  # no more than there are buckets
+        if not touched:
+            return current
+        new = self._put(merge(self.load(spark, current, touched), change), version, touched)
+        return {k: v for k, v in current.items() if k not in touched} | new
 
 
 def empty_state(spark: SparkSession) -> DataFrame:
@@ -60,8 +102,21 @@ def frequencies(state: DataFrame) -> DataFrame:
     return t.select("import_kind", "raw_specifier", "uses", "files", (F.col("files") / total).alias("share"), mark.alias("mark"))
 
 
-def counts(imports: DataFrame) -> DataFrame:
-    """``frequencies`` of a whole table: the deltas against an empty state, merged into it."""
+def counts(imports: DataFrame, path: str | None = None) -> DataFrame:
+    """``frequencies`` of a whole table by way of the persistent counts: a base load, then the changes since.
+
+    The base holds the table as it was before its last tenth of records came or changed (by a hash of
+    import_id): some of these are missing from it, some are there with another specifier, and some
+    records are there that are gone now.  The change feed then has them as added, changed and deleted
+    records, and merging it must give the counts of the table as it is.
+    """
     spark = imports.sparkSession
-    rows = counted(imports)
-    return frequencies(merge(empty_state(spark), deltas(rows.limit(0), rows)))
+    rows = common.materialize(counted(imports))
+    kind = F.pmod(F.xxhash64("import_id", F.lit(5)), F.lit(30))  # 0 added, 1 changed, 2 deleted since
+    was = rows.where(kind == 1).withColumn("raw_specifier", F.concat("raw_specifier", F.lit("~before")))
+    gone = rows.where(kind == 2).withColumn("import_id", -F.col("import_id") - 1).withColumn("raw_specifier", F.concat("raw_specifier", F.lit("~gone")))
+    store = Counts(path or common.scratch(spark, "counts"))
+    none = rows.limit(0)
+    current = store.apply(deltas(none, rows.where(kind > 1).unionByName(was).unionByName(gone)))
+    current = store.apply(deltas(was.unionByName(gone), rows.where(kind <= 1)), current)
+    return frequencies(store.load(spark, current))
