@@ -3,7 +3,8 @@
 Hashed document vectors are projected to three dimensions; documents are range-sorted by their
 Hilbert key, so that neighbours on the curve, which share a subject, fill the same containers.
 Each range is packed in one pass: a window of neighbours is placed largest first into the open
-container it fits best.  Only a document above the capacity is split.
+container it fits best, and few containers stay open, so that one's documents lie close together on
+the curve.  Only a document above the capacity is split.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
 from . import sizes
 
 #: Documents of a range that are placed together, and containers that stay open for later ones.
-WINDOW, OPEN = 4096, 8192
+WINDOW, OPEN = 256, 128
+#: No more capacities than this are packed in one call; more are an error.
+MOST_CAPACITIES = 1000
 #: Gaps that a split document may fill at either end.
 FILLS = 3
 #: The smallest gap worth a piece, as a fraction of the capacity.
@@ -87,11 +91,14 @@ def pack(documents: DataFrame, limits: DataFrame, folder: str | None = None) ->
 
     Every row of documents is packed for every capacity; null and empty texts take no room.
     limits is a small table of capacities (null or non-positive ones are left out) that is read to
-    the driver, at most 1000 rows.
+    the driver; more than MOST_CAPACITIES raise.  Texts are cut into tokens once; only ids, sizes and
+    places on the curve are sorted.
     """
     spark = documents.sparkSession
-    caps = [(r[0], r[1]) for r in limits.where("capacity_tokens > 0").select("container", "capacity_tokens").distinct().orderBy("capacity_tokens", "container").limit(1000).collect()]
-    d = sizes.sized(documents, ["doc_id"], curve=True, folder=folder)
+    caps = [(r[0], r[1]) for r in limits.where("capacity_tokens > 0").select("container", "capacity_tokens").distinct().orderBy("capacity_tokens", "container").limit(MOST_CAPACITIES + 1).collect()]
+    if len(caps) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
+    d = written(sizes.sized(documents, ["doc_id"], curve=True, folder=folder), "sized")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -108,7 +115,7 @@ def pack(documents: DataFrame, limits: DataFrame, folder: str | None = None) ->
         if waiting:
             yield pd.DataFrame([r for p in packers for r in p.add(waiting)], columns=columns)
 
-    n = max(1, -(-documents.count() // RANGE))
+    n = max(1, -(-d.count() // RANGE))
     d = d.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     return d.mapInPandas(run, _SCHEMA)
 

@@ -105,3 +105,30 @@ def test_nothing_to_mix(spark):
     assert p9_mix.mix(frame(spark, []), t)[0].count() == 0
     assert p9_mix.mix(frame(spark, [(1, "x y", "a")]), t.limit(0))[0].count() == 0
     assert p9_mix.mix(frame(spark, [(1, "x y", "a")]), t)[0].count() == 1
+
+
+def test_containers_stay_close_on_the_curve():
+    import random
+    from collections import defaultdict
+
+    random.seed(2)
+    sizes_ = [random.choice((40, 90, 150, 300, 420, 900, 2500)) for _ in range(5000)]
+    packer, rows = p8_pack.Packer("c", 2048, 0), []
+    for at in range(0, len(sizes_), p8_pack.WINDOW):
+        rows += packer.add([(n, at + k) for k, n in enumerate(sizes_[at : at + p8_pack.WINDOW])])
+    used, members = defaultdict(int), defaultdict(list)
+    for _, _, c, doc, _, a, b in rows:
+        used[c] += b - a
+        members[c].append(doc)
+    assert max(used.values()) <= 2048 and sum(used.values()) == sum(sizes_)
+    assert 1 - sum(sizes_) / (len(used) * 2048) < 0.02
+    spans = sorted(max(m) - min(m) for m in members.values() if len(m) > 1)
+    assert spans[len(spans) // 2] < 2 * p8_pack.WINDOW
+
+
+def test_too_many_capacities_raise(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    limits = spark.createDataFrame([(f"c{i}", i + 1) for i in range(p8_pack.MOST_CAPACITIES + 1)], "container string, capacity_tokens int")
+    with pytest.raises(ValueError):
+        p8_pack.pack(docs, limits)
