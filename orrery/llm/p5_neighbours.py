@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM, K = 64, 5
-#: Bound of the sample that centroids are fitted on; it is the only thing the driver collects.
+#: Bound, but for a tenth, of the sample that centroids are fitted on; it is the only thing the driver collects.
 SAMPLE = 20_000
 #: Aimed-at vectors per list, lists per group, and the bounds at which a group is cut.
 LIST_SIZE, GROUP_LISTS, DATA_BLOCK, QUERY_BLOCK = 400, 24, 40_000, 120_000
@@ -120,8 +120,8 @@ def neighbours(classes: DataFrame, k: int = K, probes: int = 6, least: float | N
     """
     spark = classes.sparkSession
     total = classes.count()
-    modulus = max(1, total // SAMPLE)
-    picked = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(modulus)) == 0).select("vector").limit(SAMPLE).toPandas()
+    # a hash picks the sample from all partitions alike; rounded up, it stays within SAMPLE but for chance, and the limit only bounds that
+    picked = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(max(1, -(-total // SAMPLE)))) == 0).select("vector").limit(SAMPLE + SAMPLE // 10).toPandas()
     schema = "class_id bigint, other bigint, similarity double"
     if not len(picked):
         return spark.createDataFrame([], schema)
