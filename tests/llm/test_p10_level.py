@@ -1,3 +1,4 @@
+import pytest
 import random
 
 import numpy as np
@@ -56,7 +57,7 @@ def test_held_out(spark, small):
 
     d = small.replace("sf0.001", "sf0.1")
     if not os.path.isdir(d):
-        return
+        pytest.skip("no larger driver tables here")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/reading_labels.parquet")
     f = p10.common.materialize(p10.features(p := p10.common.materialize(p10.profile(docs)), p10.vocabulary(p)))
     rule = p10.calibrate(f, labels.where("doc_id % 2 = 0"))
