@@ -239,16 +239,17 @@ def _strip_repeated(text: str, prefix: str) -> str:
     return text
 
 
+# A use path with what stands in its first braces, up to a second opening one; the colons before them belong to neither.
+_RUST_USE = re.compile(r"(?P<path>[^{]*?)(?:::)*(?:\{(?P<names>[^{]*).*)?", re.S)
+
+
 def _rust_import(text: str, kind: str):
     if kind == "extern_crate_declaration":
-        return [("module", _strip_repeated(text, "extern crate ").rstrip(";").strip(), [])]
-    path = _strip_repeated(text, "use ").rstrip(";").strip()
-    head = path.split("{")[0]
-    while head.endswith("::"):
-        head = head[:-2]
-    if "{" in path:
-        return [("named", head, [s.strip() for s in path.split("{")[1].rstrip("}").split(",") if s.strip()])]
-    return [("wildcard" if path.endswith("*") else "module", head, [])]
+        return [("module", re.sub(r"\A(?:extern crate )+", "", text).rstrip(";").strip(), [])]
+    use = _RUST_USE.fullmatch(re.sub(r"\A(?:use )+", "", text).rstrip(";").strip())
+    if use["names"] is not None:
+        return [("named", use["path"], [n for n in map(str.strip, use["names"].rstrip("}").split(",")) if n])]
+    return [("wildcard" if use[0].endswith("*") else "module", use["path"], [])]
 
 
 def _go_import(text: str, kind: str):

@@ -464,6 +464,13 @@ def _edges(spark, d):
     return graph.project_edges(i.join(f, "file_id"))
 
 
+def _kept_edges(spark, d):
+    """The edges written once: at most eight per project, read by every hop."""
+    from ..shared import written
+
+    return written(_edges(spark, d), "edges")
+
+
 @query("WITH " + _EDGES + " SELECT * FROM ed")
 def project_edges(spark, d):
     return _edges(spark, d)
@@ -476,13 +483,13 @@ a AS (SELECT seed, seed AS project, 1.0 AS weight FROM z UNION ALL SELECT * FROM
 )
 def graph_expand(spark, d):
     """Every project with its neighbours within two hops."""
-    e = _edges(spark, d)
+    e = _kept_edges(spark, d)
     return graph.expand(e.select(F.col("src").alias("project")), e)
 
 
 @query("WITH " + _EDGES + " SELECT src AS seed, dst AS id, (row_number() OVER (PARTITION BY src ORDER BY strength DESC, dst))::BIGINT AS rank FROM ed QUALIFY rank <= 3")
 def related_projects(spark, d):
-    e = _edges(spark, d)
+    e = _kept_edges(spark, d)
     return graph.related(e.select(F.col("src").alias("id")), e.withColumnRenamed("strength", "weight")).select("seed", "id", *_big("rank"))
 
 
@@ -624,7 +631,7 @@ SELECT query_id, id AS chunk_id, round(0.7 * len(list_intersect(a, b)) / len(a)
 def full_search(spark, d):
     """Four sources fused, narrowed to ten projects, expanded through the graph, sixty re-ranked in batches; the tier starts at one project here."""
     c, stored, q, qv = _asked(spark, d)
-    found = plan.full(c, stored, q, qv, _t(spark, d, "projects"), _edges(spark, d), _word_grade, tier_from=1, tier_keep=10)
+    found = plan.full(c, stored, q, qv, _t(spark, d, "projects"), _kept_edges(spark, d), _word_grade, tier_from=1, tier_keep=10)
     return found.select("query_id", F.col("id").alias("chunk_id"), F.round("score", 5).alias("score"))
 
 
