@@ -1,7 +1,7 @@
-import pytest
 import random
 
 import numpy as np
+import pytest
 
 from orrery.llm import p10_level as p10
 from orrery.shipping import ship
