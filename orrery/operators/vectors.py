@@ -43,17 +43,16 @@ def _topk(ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, squared: bool,
         q = y[at : at + 256]
         rough = (q * q).sum(1)[:, None] + norm[None, :] - 2 * q @ x.T
         near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-        for one, c in [(None, near)] if take == len(ids) else [(None, near)] + [(r, None) for r in np.flatnonzero((rough <= np.take_along_axis(rough, near, 1).max(1)[:, None] + 1e-9).sum(1) > take)]:
-            if one is None:
-                d, who, c = ((x[c] - q[:, None, :]) ** 2).sum(2), np.arange(len(q)), ids[c]
-            else:  # more could tie with the last one than were taken
-                c = np.flatnonzero(rough[one] <= rough[one][near[one]].max() + 1e-9)
-                d, who, c = ((x[c] - q[one]) ** 2).sum(1)[None, :], np.array([one]), ids[c][None, :]
+        bound = np.take_along_axis(rough, near, 1).max(1) + 1e-9
+        more = (rough <= bound[:, None]).sum(1) > take if take < len(ids) else np.zeros(len(q), bool)
+        parts = [(np.flatnonzero(~more), near[~more])] + [(np.array([r]), np.flatnonzero(rough[r] <= bound[r])[None, :]) for r in np.flatnonzero(more)]  # more could tie with the last one than were taken
+        for who, c in parts:
+            d = ((x[c] - q[who][:, None, :]) ** 2).sum(2)
             d = d if squared else np.sqrt(d)
             d = d if rounded is None else np.round(d, rounded)
-            o = np.lexsort((c, d), axis=1)[:, :k]
+            o = np.lexsort((ids[c], d), axis=1)[:, :k]
             rows.append(np.repeat(who + at, o.shape[1]))
-            items.append(np.take_along_axis(c, o, 1).ravel())
+            items.append(np.take_along_axis(ids[c], o, 1).ravel())
             dist.append(np.take_along_axis(d, o, 1).ravel())
     return np.concatenate(rows), np.concatenate(items), np.concatenate(dist)
 
