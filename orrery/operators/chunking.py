@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import spread
+
 MAX_CHARS, MAX_WINDOWS = 1500, 28
 
 
@@ -19,7 +21,7 @@ def windows(docs: DataFrame, size: int = MAX_CHARS, most: int = MAX_WINDOWS) ->
     not; blank windows of longer texts are dropped, and at most ``most`` windows are kept.  Null and
     empty texts have none.
     """
-    d = window_arrays(docs.where("length(text) > 0").select("id", "text"), ["id"], size, most)
+    d = window_arrays(spread(docs.where("length(text) > 0").select("id", "text")), ["id"], size, most)
     return d.select("id", F.posexplode("windows").alias("chunk_index", "w")).select("id", "chunk_index", "w.line_start", "w.line_end", "w.text")
 
 
@@ -30,24 +32,24 @@ def window_arrays(docs: DataFrame, keep: list[str], size: int = MAX_CHARS, most:
     last = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step).cast("int"))
     d = docs.select(*keep, "text", F.length("text").alias("n_"), F.when(F.length("text") > 0, F.sequence(F.lit(0), last)).alias("ks_"))
 
-    def window(k):
-        w = F.substring(F.col("text"), k * step + 1, F.lit(size))
-        pos = F.length(w) - F.locate("\n", F.reverse(w))  # characters before the last line end
-        head = F.substring(w, F.lit(1), pos)
-        cut = (k * step + size < F.col("n_")) & (F.instr(w, "\n") > 0) & (F.octet_length(head) > size // 2)
-        return F.struct(k.alias("k"), F.when(cut, head).otherwise(w).alias("t"))
-
-    kept = F.slice(F.filter(F.transform("ks_", window), lambda x: (F.col("n_") <= size) | x["t"].rlike(r"\S")), 1, most)
+    # one step after the other, so that what a later one needs twice is made once
+    cut = F.transform("ks_", lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * step + 1, F.lit(size)).alias("w")))
+    headed = F.transform(cut, lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), F.substring(x["w"], F.lit(1), F.length(x["w"]) - F.locate("\n", F.reverse(x["w"]))).alias("head")))  # up to the last line end
+    short = lambda x: (x["k"] * step + size < F.col("n_")) & (F.instr(x["w"], "\n") > 0) & (F.octet_length(x["head"]) > size // 2)
+    ended = F.transform(headed, lambda x: F.struct(x["k"].alias("k"), F.when(short(x), x["head"]).otherwise(x["w"]).alias("t")))
+    kept = F.slice(F.filter(ended, lambda x: (F.col("n_") <= size) | x["t"].rlike(r"\S")), 1, most)
     # line ends of every step, so that those before a window are a sum of the steps before it
     steps = F.transform("ks_", lambda k: ends(F.substring(F.col("text"), k * step + 1, F.lit(step))))
-    d = d.select(*keep, (F.col("n_") <= size).alias("whole_"), kept.alias("kept_"), steps.alias("steps_"))
+    whole = F.col("n_") <= size
 
-    def placed(x):
-        t, one = x["t"], F.aggregate(F.slice(F.col("steps_"), F.lit(1), x["k"]), F.lit(1), lambda s, y: s + y)
+    def placed(x, steps):
+        t, one = x["t"], F.aggregate(F.slice(steps, F.lit(1), x["k"]), F.lit(1), lambda s, y: s + y)
         lines = F.greatest(F.lit(1), ends(t) + F.when(F.endswith(t, F.lit("\n")), 0).otherwise(1))
-        return F.struct(t.alias("text"), one.alias("line_start"), F.when(F.col("whole_"), lines).otherwise(one + ends(t)).cast("int").alias("line_end"))
+        return F.struct(t.alias("text"), one.alias("line_start"), F.when(whole, lines).otherwise(one + ends(t)).cast("int").alias("line_end"))
 
-    return d.select(*keep, F.transform("kept_", placed).alias("windows"))
+    # the one-row transform binds the steps: named as a column, the optimizer would count them anew for every window
+    bound = F.transform(F.array(F.struct(kept.alias("kept"), steps.alias("steps"))), lambda z: F.transform(z["kept"], lambda x: placed(x, z["steps"])))
+    return d.select(*keep, F.element_at(bound, 1).alias("windows"))
 
 
 def pack_lines(text: str, limit: int = MAX_CHARS, base: int = 1) -> list[tuple[str, int, int]]:
