@@ -39,6 +39,33 @@ def test_bm25_with_and_without_pruning(spark):
     assert pruned == plain and len(plain) == 41 * 3
 
 
+def test_bm25_sums_inside_blocks(spark, monkeypatch):
+    """Pairs of query and document are not shuffled, and blocks, equal queries and ties give the rows of a loop."""
+    import random
+
+    random.seed(3)
+    words = [random.choices(["a", "b", "c", "d"], [8, 4, 2, 1], k=random.randint(0, 9)) for _ in range(300)]
+    asked = {q: ["a", "b", "a b", "b a", "c d a", "zzz", ""][q % 7] for q in range(21)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "id bigint, text string")
+    avg = sum(map(len, words)) / 300
+    want = []
+    for q, text in asked.items():
+        sums = {}
+        for t in set(text.split()):
+            df = sum(t in w for w in words)
+            idf = math.log(1 + (300 - df + 0.5) / (df + 0.5))
+            for i, w in enumerate(words):
+                if t in w:
+                    sums[i] = sums.get(i, 0) + round(idf * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / avg)) * 1e6)
+        want += [(q, i, s / 1e6, r) for r, (i, s) in enumerate(sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:12])]
+    for block, terms in ((250_000, 500_000), (90, 2)):
+        monkeypatch.setattr(lexical, "BLOCK", block)
+        monkeypatch.setattr(lexical, "TERMS", terms)
+        found = lexical.bm25(docs, spark.createDataFrame(list(asked.items()), "query_id bigint, text string"), 12)
+        assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
+        assert rows(found) == sorted(want)
+
+
 def test_token_stats(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "id bigint, text string")
     assert rows(lexical.token_stats(docs)) == [("a", 2, 1), ("b", 2, 2)]
