@@ -24,7 +24,12 @@ DIM, K = 64, 5
 #: Bound, but for a tenth, of the sample that centroids are fitted on; it is the only thing the driver collects.
 SAMPLE = 20_000
 #: Aimed-at vectors per list, lists per group, and the bounds at which a group is cut.
-LIST_SIZE, GROUP_LISTS, DATA_BLOCK, QUERY_BLOCK = 400, 24, 40_000, 120_000
+LIST_SIZE, GROUP_LISTS, DATA_BLOCK, QUERY_BLOCK = 400, 24, 80_000, 160_000
+#: Vectors of a group as long as there are more lists than groups: where lists cannot grow in number, groups have fewer of them.
+GROUP_SIZE = 60_000
+#: A task compares so many rows with all centroids at once, so many queries with so many vectors, and measures so many pairs exactly at
+#: once; it keeps the best of its candidates when there are more than these.  They bound memory and change no row.
+ROWS, SCAN_QUERIES, SCAN_DATA, EXACT, CANDIDATES = 1024, 512, 2048, 50_000, 1_000_000
 #: Column blocks of the scan and the tail of its test: a candidate is dropped if its scaled partial
 #: distance exceeds the threshold by more than EPSILON standard errors.
 COLUMNS, EPSILON = (0, 8, 16, 32, 64), 2.4
@@ -60,6 +65,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _exact(x: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs of rows q and y of x, a bounded number of them at once."""
+    s = np.empty(len(q))
+    for a in range(0, len(q), EXACT):
+        s[a : a + EXACT] = np.einsum("nd,nd->n", _unit(x[q[a : a + EXACT]]), _unit(x[y[a : a + EXACT]]))
+    return s
+
+
+def _closest(x: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """The probes nearest centroids of each row of unit length, nearest first."""
+    out = np.empty((len(x), probes), np.int32)
+    for a in range(0, len(x), ROWS):
+        near = x[a : a + ROWS] @ centroids.T
+        np.negative(near, out=near)
+        if probes < len(centroids):
+            p = np.argpartition(near, probes - 1, axis=1)[:, :probes]
+            out[a : a + ROWS] = np.take_along_axis(p, np.argsort(np.take_along_axis(near, p, 1), axis=1, kind="stable"), 1)
+        else:
+            out[a : a + ROWS] = np.argsort(near, axis=1, kind="stable")
+    return out
+
+
 def fit(sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 8) -> np.ndarray:
     """Spherical k-means; fewer lists if the sample is small."""
     rng = np.random.default_rng(seed)
@@ -128,7 +155,7 @@ def neighbours(classes: DataFrame, k: int = K, probes: int = 6, least: float | N
     sample = _unit(np.stack(picked["vector"].to_numpy()))
     centroids = fit(sample, max(1, min(SAMPLE // 8, round(total / LIST_SIZE))))
     lists = len(centroids)
-    groups = max(1, round(lists / GROUP_LISTS))
+    groups = max(1, round(lists / GROUP_LISTS), min(lists // 4, -(-total // GROUP_SIZE)))
     top = fit(centroids, groups) if groups > 1 and lists >= 4 * groups else centroids[:1]
     group_of = np.argmax(centroids @ top.T, axis=1).astype(np.int32)
     # expected loads from the sample decide only how finely a hot group is cut, never what is in it
@@ -139,16 +166,9 @@ def neighbours(classes: DataFrame, k: int = K, probes: int = 6, least: float | N
     probes = min(probes, lists)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (part.iloc[a : a + ROWS] for part in batches for a in range(0, len(part), ROWS)):
             x = _unit(np.stack(pdf["vector"].to_numpy())).astype(np.float32)
-            near = x @ centroids.T
-            if probes < lists:
-                p = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-                p = np.take_along_axis(p, np.argsort(-np.take_along_axis(near, p, 1), axis=1, kind="stable"), 1)
-            else:
-                p = np.argsort(-near, axis=1, kind="stable")
+            p = _closest(x, centroids, probes)
             g = group_of[p]
             own = g[:, 0]
             ask = pdf["ask"].to_numpy(dtype=bool)
@@ -180,16 +200,17 @@ def neighbours(classes: DataFrame, k: int = K, probes: int = 6, least: float | N
     turn = rotation(dim)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = _unit(np.stack(pdf["vector"].to_numpy()))
+        x32 = np.stack(pdf["vector"].to_numpy())
         ids, holds, asks = pdf["class_id"].to_numpy(), pdf["holds"].to_numpy(bool), pdf["asks"].to_numpy(bool)
-        turned = (unit @ turn).astype(np.float32)
-        near = unit.astype(np.float32) @ centroids.T
         dr, qr = np.flatnonzero(holds), np.flatnonzero(asks)
         if not len(dr) or not len(qr):
             return pd.DataFrame({"class_id": [], "other": [], "similarity": []})
-        home = np.argmax(near[dr], axis=1)
-        part = np.argpartition(-near[qr], min(probes, lists) - 1, axis=1)[:, :probes] if probes < lists else np.tile(np.arange(lists), (len(qr), 1))
-        part = np.take_along_axis(part, np.argsort(-np.take_along_axis(near[qr], part, 1), axis=1), 1)
+        turned, close = np.empty(x32.shape, np.float32), np.empty((len(x32), probes), np.int32)
+        for a in range(0, len(x32), ROWS):
+            unit = _unit(x32[a : a + ROWS])
+            turned[a : a + ROWS] = unit @ turn
+            close[a : a + ROWS] = _closest(unit.astype(np.float32), centroids, probes)
+        home, part = close[dr, 0], close[qr]
         radius = np.full(len(qr), 4.0 if least is None else (2 - 2 * least) * (1 + 1e-5), np.float32)
         members = {int(c): dr[home == c] for c in np.unique(home)}
         got_q, got_x, got_s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
@@ -200,24 +221,22 @@ def neighbours(classes: DataFrame, k: int = K, probes: int = 6, least: float | N
                 if m is None:
                     continue
                 q = np.flatnonzero(part[:, rank] == c)
-                for a in range(0, len(q), 2048):
-                    for z in range(0, len(m), 4096):
-                        i, j, _ = scan(turned[qr[q[a : a + 2048]]], turned[m[z : z + 4096]], radius[q[a : a + 2048]])
-                        i, j = q[a : a + 2048][i], m[z : z + 4096][j]
+                for a in range(0, len(q), SCAN_QUERIES):
+                    for z in range(0, len(m), SCAN_DATA):
+                        i, j, _ = scan(turned[qr[q[a : a + SCAN_QUERIES]]], turned[m[z : z + SCAN_DATA]], radius[q[a : a + SCAN_QUERIES]])
+                        i, j = q[a : a + SCAN_QUERIES][i], m[z : z + SCAN_DATA][j]
                         other = qr[i] != j
                         other &= ids[qr[i]] != ids[j]
                         qs.append(i[other])
                         xs.append(j[other])
-                        if sum(map(len, qs)) > 4_000_000:  # long lists without a threshold: keep the best as they come
+                        if sum(map(len, qs)) > max(CANDIDATES, 4 * k * len(qr)):  # long lists without a threshold: keep the best as they come
                             q1, x1 = np.concatenate(qs), np.concatenate(xs)
-                            keep = _best(ids, q1, x1, np.einsum("nd,nd->n", unit[qr[q1]], unit[x1]), k)
+                            keep = _best(ids, q1, x1, _exact(x32, qr[q1], x1), k)
                             qs, xs = [q1[keep]], [x1[keep]]
             if not qs:
                 continue
             q, x = np.concatenate(qs), np.concatenate(xs)
-            s = np.empty(len(q))
-            for a in range(0, len(q), 500_000):
-                s[a : a + 500_000] = np.einsum("nd,nd->n", unit[qr[q[a : a + 500_000]]], unit[x[a : a + 500_000]])
+            s = _exact(x32, qr[q], x)
             if least is not None:
                 ok = s >= least
                 q, x, s = q[ok], x[ok], s[ok]

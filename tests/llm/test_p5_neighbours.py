@@ -90,3 +90,22 @@ def test_few_and_none(spark):
     assert p5.pairs(frame(spark, [1, 2], x[[0, 0]])).collect() == [(1, 2)]
     assert p5.pairs(frame(spark, [1], x[:1])).count() == 0
     assert p5.pairs(frame(spark, [1], x[:1]).limit(0)).count() == 0
+
+
+def test_large_group_stays_in_memory():
+    """Cosines of many pairs and the nearest of many centroids are taken a bounded number at once, and are the plain ones."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 64)).astype(np.float32)
+    q, y = rng.integers(0, 2000, 600_000), rng.integers(0, 2000, 600_000)
+    c = p5.fit(p5._unit(x), 200)
+    tracemalloc.start()
+    s = p5._exact(x, q, y)
+    near = p5._closest(np.tile(p5._unit(x).astype(np.float32), (20, 1)), c, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    u = p5._unit(x)
+    assert np.array_equal(s[::997], np.einsum("nd,nd->n", u[q[::997]], u[y[::997]]))
+    assert np.array_equal(near[:2000, 0], np.argmax(u.astype(np.float32) @ c.T, axis=1))
+    assert peak < 250e6  # all at once would take 614 MB for the pairs
