@@ -66,6 +66,29 @@ def test_bm25_sums_inside_blocks(spark, monkeypatch):
         assert rows(found) == sorted(want)
 
 
+def test_queries_of_the_same_words_are_packed_once(spark):
+    q = spark.createDataFrame([(4, "load file"), (2, "File load load"), (7, "x"), (9, "--")], "query_id bigint, text string")
+    one, of = lexical.representatives(q)
+    assert rows(one) == [(2, "File load load"), (7, "x")] and rows(of) == [(2, 2), (4, 2), (7, 7)]
+    assert rows(lexical.for_all(one.select("query_id", "text"), of)) == [(2, "File load load"), (4, "File load load"), (7, "x")]
+
+
+@pytest.mark.parametrize("name", ["pack_context", "pack_budget", "pack_documents", "pack_dedup", "pack_order", "tiered_search", "hyde_blend", "pack_diversity", "rerank_blend"])
+def test_packing_starts_from_one_query_of_the_same_words(spark, small, monkeypatch, name):
+    from orrery.plans import catalogue
+
+    asked = []
+    bm25 = lexical.bm25
+    monkeypatch.setattr(catalogue.lexical, "bm25", lambda docs, queries, *more: asked.append(queries) or bm25(docs, queries, *more))
+    names = catalogue._name_queries(spark, small)
+    double = names.unionByName(names.selectExpr("query_id + 1000000 as query_id", "text"))
+    monkeypatch.setattr(catalogue, "_name_queries", lambda *_: double)
+    got = rows(catalogue.QUERIES[name](ship(spark), small))
+    assert asked[0].count() <= names.count()
+    twin = sorted((r[0] - 1000000, *r[1:]) for r in got if r[0] >= 1000000)
+    assert twin == [r for r in got if r[0] < 1000000] and twin
+
+
 def test_token_stats(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "id bigint, text string")
     assert rows(lexical.token_stats(docs)) == [("a", 2, 1), ("b", 2, 2)]
