@@ -28,6 +28,8 @@ def normalize_distances(hits: DataFrame, by: list[str], item: str) -> DataFrame:
 
 #: So many queries, of so many numbers together, are sent to every task; more are cut into blocks.
 FEW_QUERIES, FEW_NUMBERS = 2048, 4_000_000
+#: Queries of a block: vectors are shuffled once for each of these blocks, so they are as large as a task's memory allows.
+QUERY_BLOCK = 20_000
 
 
 def _stack(vectors) -> np.ndarray:
@@ -39,8 +41,8 @@ def _topk(ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, squared: bool,
     rows, items, dist = [], [], []
     norm = (x * x).sum(1)
     take = min(len(ids), k + 32)
-    for at in range(0, len(y), 256):
-        q = y[at : at + 256]
+    for at in range(0, len(y), 64):  # so many rows of distances are held at once
+        q = y[at : at + 64]
         rough = (q * q).sum(1)[:, None] + norm[None, :] - 2 * q @ x.T
         near = np.argpartition(rough, take - 1, axis=1)[:, :take]
         bound = np.take_along_axis(rough, near, 1).max(1) + 1e-9
@@ -57,7 +59,7 @@ def _topk(ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, squared: bool,
     return np.concatenate(rows), np.concatenate(items), np.concatenate(dist)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, squared: bool = True, block: int = 50_000, rounded: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, squared: bool = True, block: int = 100_000, rounded: int | None = None) -> DataFrame:
     """(query_id, item_id, distance): the max(k, 1) nearest vectors of each query by L2 distance, ties to the smaller id.
 
     vectors are (item_id, vector), queries (query_id, vector).  Up to FEW_QUERIES queries of
@@ -98,10 +100,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, squared: bool = True
 
         hits = vectors.mapInPandas(scan, schema)
     else:
-        nv, nq = max(1, -(-vectors.count() // block)), max(1, -(-size[0] // 4096))
+        nv, nq = max(1, -(-vectors.count() // block)), max(1, -(-size[0] // QUERY_BLOCK))
         v = vectors.withColumn("vb", F.pmod(F.xxhash64("item_id"), F.lit(nv))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
         q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)).cast("array<bigint>")))
-        hits = v.groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb")).applyInPandas(multiply, schema)
+        v, q = (x.repartition(nv * nq, "qb", "vb").groupBy("qb", "vb") for x in (v, q))  # a pair of blocks is long work, small as it is
+        hits = v.cogroup(q).applyInPandas(multiply, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id"))
     return hits.where("not isnan(distance)").withColumn("r", rank).where(F.col("r") <= k).drop("r")
 

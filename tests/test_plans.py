@@ -41,6 +41,18 @@ def test_both_ways_of_nearest_agree(spark):
         vectors.FEW_QUERIES = old
 
 
+def test_vectors_move_once_for_many_queries(spark, monkeypatch):
+    """5,000 queries, above the few that are sent to every task, are one block, and the rows are the same."""
+    ship(spark)
+    v = spark.range(5000).select(F.col("id").alias("item_id"), F.array(*[((F.xxhash64("id", F.lit(i)) % 97) / 97).cast("float") for i in range(3)]).alias("vector"))
+    q = v.select(F.col("item_id").alias("query_id"), "vector")
+    near = vectors.nearest(v, q, 2, rounded=6)
+    assert re.search(r"pmod\(xxhash64\(id#\d+L, 42\), 1\) AS qb", plan(near))
+    rows = sorted(map(tuple, near.collect()))
+    monkeypatch.setattr(vectors, "FEW_QUERIES", 5000)
+    assert rows == sorted(map(tuple, vectors.nearest(v, q, 2, rounded=6).collect())) and len(rows) == 10_000
+
+
 def test_one_parse_gives_chunks_and_windows(spark):
     ship(spark)
     f = spark.createDataFrame([(1, "a.py", "def f():\n    return 1\n"), (2, "b.txt", "text"), (3, "c.py", None)], "id bigint, path string, text string")
