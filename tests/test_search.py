@@ -104,6 +104,16 @@ def test_path_and_prefix(spark):
     assert got == [(1, 0, 2), (1, 1, 1), (2, 0, 5), (2, 1, 2), (2, 2, 1)]
 
 
+def test_path_words_are_counted_inside_blocks(spark):
+    """Pairs of query and path are not shuffled; a repeated row counts again, as ever."""
+    p = spark.createDataFrame([(i, f"src/{'ab'[i % 2]}/x.py") for i in range(9)] + [(8, "src/a/x.py")], "id bigint, path string")
+    q = spark.createDataFrame([(1, "a src"), (2, "src a"), (3, "zzz")], "query_id bigint, text string")
+    m = lexical.path_matches(p, q, 3)
+    assert "CoGroup" in m._jdf.queryExecution().executedPlan().toString()
+    want = [(8, 2.0, 0), (0, 1.0, 1), (2, 1.0, 2)]
+    assert rows(m) == [(k, *r) for k in (1, 2) for r in sorted(want)]
+
+
 def test_fusion(spark):
     hits = spark.createDataFrame([(1, "vector", 5, 0), (1, "lexical", 5, 1), (1, "lexical", 6, 0), (2, "path", 7, 0)], "query_id bigint, source string, id bigint, rank int")
     k = spark.createDataFrame([(1, "Symbol"), (2, "PathQuery")], "query_id bigint, query_class string")
