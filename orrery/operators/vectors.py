@@ -28,6 +28,8 @@ def normalize_distances(hits: DataFrame, by: list[str], item: str) -> DataFrame:
 
 #: So many queries, of so many numbers together, are sent to every task; more are cut into blocks.
 FEW_QUERIES, FEW_NUMBERS = 2048, 4_000_000
+#: Queries that meet a block of vectors at once where all of them are sent to the tasks: a task holds the rows of so many.
+QUERY_SLICE = 4096
 #: Queries of a block: vectors are shuffled once for each of these blocks, so they are as large as a task's memory allows.
 QUERY_BLOCK = 20_000
 
@@ -64,8 +66,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, squared: bool = True
 
     vectors are (item_id, vector), queries (query_id, vector).  Up to FEW_QUERIES queries of
     FEW_NUMBERS numbers are sent to the tasks that scan the vectors, of which none is shuffled: a
-    task lets only its k best per query go.  More queries are cut into blocks, as are the vectors,
-    and a pair of blocks is one matrix product.  Null vectors and vectors of another length than
+    task lets only its k best per query go.  More queries of no more numbers are sent too, to few
+    tasks, each of which takes a block of vectors and one slice of the queries after another.  Still
+    more are cut into blocks, as are the vectors, and a pair of blocks is one matrix product.  Null vectors and vectors of another length than
     the query's do not match.  rounded digits make ties of nearly equal distances.
     """
     k = max(k, 1)
@@ -99,6 +102,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, squared: bool = True
                 yield best.sort_values(["query_id", "distance", "item_id"]).groupby("query_id").head(k)
 
         hits = vectors.mapInPandas(scan, schema)
+    elif size[1] <= FEW_NUMBERS:
+        many = queries.toPandas()
+
+        def against(left: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            whole = pd.concat(left)
+            for at in range(0, len(many), QUERY_SLICE):
+                yield multiply(whole, many.iloc[at : at + QUERY_SLICE])
+
+        def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, n = [], 0
+            for pdf in batches:
+                held.append(pdf)
+                n += len(pdf)
+                if n >= 1.5 * block:  # partitions are not quite even, and a small rest would give as many rows as a block
+                    yield from against(held)
+                    held, n = [], 0
+            if n:
+                yield from against(held)
+
+        hits = vectors.coalesce(max(1, -(-vectors.count() // block))).mapInPandas(gather, schema)
     else:
         nv, nq = max(1, -(-vectors.count() // block)), max(1, -(-size[0] // QUERY_BLOCK))
         v = vectors.withColumn("vb", F.pmod(F.xxhash64("item_id"), F.lit(nv))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))

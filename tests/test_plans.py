@@ -118,3 +118,19 @@ def test_grades_come_in_batches(spark):
 
     c = spark.createDataFrame([(1, i, 1.0, "a", "a") for i in range(20)], "query_id bigint, id bigint, score double, query string, text string").coalesce(1)
     assert sorted(r.score for r in fusion.rerank(c, grade).collect()) == [pytest.approx(0.7 * 0.4 + 0.3)] * 4 + [pytest.approx(0.7 * 0.8 + 0.3)] * 16
+
+
+def test_texts_are_moved_for_those_who_ask(spark, small):
+    """The latest row is the same whichever columns are asked for, and the text is not read where it is not."""
+    c = spark.read.parquet(f"{small}/semantic_chunks.parquet")
+    light = search.latest_chunks(c, "project", "symbol_name")
+    assert "text:string" not in plan(light) and "text:string" in plan(search.latest_chunks(c))
+    assert light.columns == ["chunk_id", "project", "symbol_name"]
+    assert sorted(map(repr, light.collect())) == sorted(map(repr, search.latest_chunks(c).select(light.columns).collect()))
+
+
+def test_graded_pool_is_not_shuffled(spark):
+    from orrery.operators import fusion
+
+    c = spark.createDataFrame([(1, i, 1.0, "a", "a") for i in range(20)], "query_id bigint, id bigint, score double, query string, text string")
+    assert "Exchange" not in plan(fusion.graded(c)) and "Exchange" in plan(fusion.rerank(c))

@@ -103,3 +103,21 @@ def test_embed_batches_and_retries(spark):
     assert len(got) == 50 and {r.id: r.vector for r in got}[0] == [0.0]
     same = vectors.hashed_words(16)
     assert np.allclose(same(["a b"])[0], same(["b a"])[0]) and not np.any(same([""])[0])
+
+
+def test_queries_of_few_numbers_move_no_vectors(spark, monkeypatch):
+    """Too many queries for one look, few enough to be sent: slices against blocks, the same rows, and vectors are not shuffled."""
+    ship(spark)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((500, 8)).astype(np.float32)
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)] + [(1000, None), (1001, [1.0])], "item_id bigint, vector array<float>").repartition(7)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 500, 9)], "query_id bigint, vector array<float>")
+    want = sorted(map(tuple, vectors.nearest(v, q, 5, rounded=6).collect()))
+    monkeypatch.setattr(vectors, "FEW_QUERIES", 3)
+    monkeypatch.setattr(vectors, "QUERY_SLICE", 10)
+    near = vectors.nearest(v, q, 5, block=90, rounded=6)
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in text and "Coalesce" in text
+    assert sorted(map(tuple, near.collect())) == want and len(want) == 5 * 56
+    monkeypatch.setattr(vectors, "FEW_NUMBERS", 3)
+    assert sorted(map(tuple, vectors.nearest(v, q, 5, block=90, rounded=6).collect())) == want
