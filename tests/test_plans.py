@@ -134,3 +134,16 @@ def test_graded_pool_is_not_shuffled(spark):
 
     c = spark.createDataFrame([(1, i, 1.0, "a", "a") for i in range(20)], "query_id bigint, id bigint, score double, query string, text string")
     assert "Exchange" not in plan(fusion.graded(c)) and "Exchange" in plan(fusion.rerank(c))
+
+
+def test_dedup_moves_texts_by_query_only(spark):
+    from orrery.operators import packing
+
+    h = spark.createDataFrame([(1, i, 1.0 - i / 10, t) for i, t in enumerate(["a b c d", "a b c e", "x y"])], "query_id bigint, id bigint, score double, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = packing.dedup(h)
+        assert not re.search(r"hashpartitioning\(query_id#\w+, id#", plan(d)) and sorted(r.id for r in d.collect()) == [0, 2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
