@@ -147,3 +147,10 @@ def test_dedup_moves_texts_by_query_only(spark):
         assert not re.search(r"hashpartitioning\(query_id#\w+, id#", plan(d)) and sorted(r.id for r in d.collect()) == [0, 2]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("name", ["pack_diversity", "pack_order", "tiered_search", "rrf_fusion"])
+def test_what_needs_no_text_reads_it_for_the_index_only(spark, small, name):
+    from orrery.plans import catalogue
+
+    assert "text:string" not in plan(catalogue.QUERIES[name](ship(spark), small))
